@@ -1,12 +1,13 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import langid, mixing, sharding, url_filter
+from . import bagminhash, langid, mixing, sharding, url_filter
 
 QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_shard_best_fit": sharding.op7_shard_best_fit,
     "op8_language_id": langid.op8_language_id,
+    "op9_bagminhash": bagminhash.op9_bagminhash,
 }
 ORACLE_SQL = {
     "op3_url_filters": url_filter.ORACLE,
