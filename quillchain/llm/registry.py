@@ -1,6 +1,6 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import bagminhash, langid, mixing, sharding, url_filter
+from . import bagminhash, contamination, langid, mixing, sharding, url_filter
 
 QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
@@ -8,8 +8,10 @@ QUERIES = {
     "op7_shard_best_fit": sharding.op7_shard_best_fit,
     "op8_language_id": langid.op8_language_id,
     "op9_bagminhash": bagminhash.op9_bagminhash,
+    "op10_decontaminate": contamination.op10_decontaminate,
 }
 ORACLE_SQL = {
     "op3_url_filters": url_filter.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
+    "op10_decontaminate": contamination.ORACLE,
 }
