@@ -288,5 +288,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row with the least
+    id.  Rows with a null text are no one's copies and stay; of rows that are equal in id
+    and text one stays."""
+    rows, _, stars = near_links(docs, doc_id, text)
+    per_text = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = per_text.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node")).alias("k"))
+    chosen = written(rooted.select(F.col("k.least").alias("_least"), F.col("k.node").alias("_node")), "bag-chosen")
+    names = docs.columns
+    keyed = docs.where(F.col(text).isNotNull()).withColumn("_n", node_of(text))
+    kept = keyed.join(chosen, (F.col("_n") == F.col("_node")) & F.col(doc_id).eqNullSafe(F.col("_least")), "left_semi")
+    one = kept.groupBy("_n").agg(F.first(F.struct(*names)).alias("_row")).select("_row.*")
+    return one.unionByName(docs.where(F.col(text).isNull()))
+
+
 def op9_bagminhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,5 +1,7 @@
 """Queries and oracle SQL of this subpackage."""
 
+import corpus_pipeline
+
 from . import bagminhash, contamination, langid, mixing, sharding, url_filter
 
 QUERIES = {
@@ -9,6 +11,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_bagminhash": bagminhash.op9_bagminhash,
     "op10_decontaminate": contamination.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op3_url_filters": url_filter.ORACLE,

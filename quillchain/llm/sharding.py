@@ -161,5 +161,12 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", te
     return inside.join(starts, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
+    """``docs`` with the column ``shard``; rows are neither shuffled nor renumbered."""
+    sized = docs.select(text_hash(text).alias("h"), text_cost(text).alias("size"))
+    big, bundles = shard_table(sized, shards)
+    return with_shard(docs.withColumn("h", text_hash(text)), big, bundles).select(*docs.columns, "shard")
+
+
 def op7_shard_best_fit(spark, sf_dir: str) -> DataFrame:
     return shard_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
