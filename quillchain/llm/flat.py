@@ -26,7 +26,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes (or one row), so scratch arrays stay small."""
     i, n = 0, len(offsets) - 1
     while i < n:
