@@ -2,11 +2,13 @@
 
 import corpus_pipeline
 
-from . import bagminhash, contamination, langid, mixing, sharding, url_filter
+from . import bagminhash, contamination, langid, media, mixing, sharding, suffix_dedup, url_filter
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_media_columns": media.op5_media_columns,
     "op7_shard_best_fit": sharding.op7_shard_best_fit,
     "op8_language_id": langid.op8_language_id,
     "op9_bagminhash": bagminhash.op9_bagminhash,
