@@ -18,7 +18,7 @@ def create(uri: str):
     """A stream that writes ``uri``; folders are made as needed."""
     where, path = at(uri)
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return where.open_output_stream(path)
+    return where.open_output_stream(path, compression=None)
 
 
 def reader(uri: str):

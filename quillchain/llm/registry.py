@@ -2,9 +2,10 @@
 
 import corpus_pipeline
 
-from . import bagminhash, contamination, langid, media, mixing, sharding, suffix_dedup, url_filter
+from . import bagminhash, contamination, langid, media, mixing, sharding, suffix_dedup, url_filter, warc
 
 QUERIES = {
+    "op1_arc_to_warc": warc.op1_arc_to_warc,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_mix_sources": mixing.op4_mix_sources,
