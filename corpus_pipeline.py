@@ -18,9 +18,10 @@ LEAST_SCORE = 0.1  # texts of which less is known in any learned language are re
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language; null texts and those without a letter go."""
-    judged = langid.predicted(docs, langid.fit(docs))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    judged = langid.predicted(rows, langid.fit(docs), "row.text")
     kept = judged.where((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,12 +294,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     and text one stays."""
     rows, _, stars = near_links(docs, doc_id, text)
     per_text = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = per_text.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node")).alias("k"))
+    rooted = per_text.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("k"))
     chosen = written(rooted.select(F.col("k.least").alias("_least"), F.col("k.node").alias("_node")), "bag-chosen")
-    names = docs.columns
-    keyed = docs.where(F.col(text).isNotNull()).withColumn("_n", node_of(text))
-    kept = keyed.join(chosen, (F.col("_n") == F.col("_node")) & F.col(doc_id).eqNullSafe(F.col("_least")), "left_semi")
-    one = kept.groupBy("_n").agg(F.first(F.struct(*names)).alias("_row")).select("_row.*")
+    keyed = docs.where(F.col(text).isNotNull()).select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), node_of(text).alias("_n"))
+    kept = keyed.join(chosen, (F.col("_n") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
+    one = kept.groupBy("_n").agg(F.first("_row").alias("_row")).select("_row.*")
     return one.unionByName(docs.where(F.col(text).isNull()))
 
 

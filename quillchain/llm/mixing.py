@@ -122,9 +122,11 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     _, marks = plan_mix(docs, doc_id, text, source, weights)
     marks = marks.select(F.col("source").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below"))
-    often = F.when(words_in(F.col(text)) > 0, F.col("_times") + (hash60(F.col(doc_id), F.col(text)) < F.col("_below")).cast("long")).otherwise(0).cast("int")
-    rows = docs.join(marks, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_often", often).where("_often > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_often")))).select(*docs.columns)
+    once = F.when(words_in(F.col(text)) > 0, hash60(F.col(doc_id), F.col(text)))  # null for wordless texts
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).alias("_source"), once.alias("_h"))
+    often = F.coalesce(F.col("_times") + (F.col("_h") < F.col("_below")).cast("long"), F.lit(0)).cast("int")
+    rows = rows.join(marks, F.col("_source").eqNullSafe(F.col("_s"))).select("_row", often.alias("_often")).where("_often > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_often"))).alias("_copy")).select("_row.*")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -162,10 +162,12 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", te
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``shard``; rows are neither shuffled nor renumbered."""
+    """``docs`` with the column ``shard`` (in place of one of that name); rows are neither
+    shuffled nor renumbered."""
     sized = docs.select(text_hash(text).alias("h"), text_cost(text).alias("size"))
     big, bundles = shard_table(sized, shards)
-    return with_shard(docs.withColumn("h", text_hash(text)), big, bundles).select(*docs.columns, "shard")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_hash(text).alias("h"))
+    return with_shard(rows, big, bundles).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "shard"], "shard")
 
 
 def op7_shard_best_fit(spark, sf_dir: str) -> DataFrame:

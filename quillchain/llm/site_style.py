@@ -77,11 +77,11 @@ class Node:
     """An element.  ``told``: what it declares itself to be; ``role``: what it counts as,
     with regard to what it stands in."""
 
-    __slots__ = ("tag", "label", "parent", "kids", "told", "words", "role", "texts", "links", "id")
+    __slots__ = ("tag", "label", "parent", "kids", "told", "words", "role", "texts", "links", "id", "held")
 
     def __init__(self, tag: str, label: str, parent: Node | None, told: int, words: frozenset):
         self.tag, self.label, self.parent, self.told, self.words = tag, label, parent, told, words
-        self.kids, self.texts, self.links, self.role, self.id = [], [], [], NEUTRAL, 0
+        self.kids, self.texts, self.links, self.role, self.id, self.held = [], [], [], NEUTRAL, 0, None
         if parent is not None:
             parent.kids.append(self)
 
@@ -151,6 +151,7 @@ class Page:
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 self._close(tag)
+        self._pop_to(1)
         self._flush()
 
     def _text(self, text: str) -> None:
@@ -167,10 +168,13 @@ class Page:
 
     def _pop_to(self, k: int) -> None:
         """Closes the open elements from the ``k``-th on."""
-        if any(node is not self.open[k - 1][1] for _, node in self.open[k:]):
-            self._flush()
-        del self.open[k:]
-        self.where = self.open[-1][1]
+        while len(self.open) > k:
+            _, node = self.open.pop()
+            if node is not self.open[-1][1]:
+                self._flush()
+                self.where = self.open[-1][1]
+                if node.held is not None:  # the text that inline furniture interrupted
+                    self.text, node.held = node.held, None
 
     def _find(self, tags, stops) -> int:
         for k in range(len(self.open) - 1, 0, -1):
@@ -201,9 +205,14 @@ class Page:
         if tag in ("html", "body") and any(t == tag for t, _ in self.open):
             return
         if tag in BLOCKS or told == FURNITURE:
-            self._flush()
+            held = None
+            if tag in BLOCKS:
+                self._flush()
+            else:
+                held, self.text = self.text, []
             label = tag if not words else f"{tag}.{'.'.join(sorted(words))}"
             self.where = Node(tag, label, self.where, told, words)
+            self.where.held = held
             self.nodes.append(self.where)
         self.open.append((tag, self.where))
 
