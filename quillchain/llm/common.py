@@ -40,6 +40,13 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slim_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the bytes of an Arrow batch for this session, unless it has a bound already:
+    by default only rows are counted, and 10,000 long texts are too much for a worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", "64MB", str(64 << 20)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by ``written`` that no later step reads."""
     for df in tables:

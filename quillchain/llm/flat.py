@@ -56,7 +56,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n - 1).bit_length())
+    size = 1 << max(19, int(n - 1).bit_length())
     up, down = _powers(size)
     return up[:n], down[:n]
 
