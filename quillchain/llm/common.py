@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
@@ -34,9 +35,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here,
-    and a lost executor costs only a re-read."""
+    and a lost executor costs only a re-read.  Spark drops the job's shuffle files as soon
+    as the table is there."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
     return spark.read.schema(df.schema).parquet(path)
 
 

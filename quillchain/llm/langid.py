@@ -72,18 +72,27 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & U64(SLOTS - 1)).astype(np.int64), (mix(h) & U64(SLOTS - 1)).astype(np.int64)
 
 
+def _once(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram once a row."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[first], row[first]
+
+
 def _count_texts(batches):
     """(lang, text) batches to (lang, gram, n): how many texts of a slice have the n-gram."""
     for batch in batches:
         lang = np.array(batch.column(0).to_pylist(), object)
         for i, j in slices(batch.column(1)):
-            seen = [np.unique(np.stack([row.astype(U64), h], 1), axis=0) for h, row in gram_hashes(batch.column(1).slice(i, j - i))]
+            seen = [_once(h, row) for h, row in gram_hashes(batch.column(1).slice(i, j - i))]
             if not seen:
                 continue
-            seen = np.unique(np.concatenate(seen), axis=0)
-            named = lang[i:j][seen[:, 0].astype(np.int64)]
+            h, row = _once(*map(np.concatenate, zip(*seen)))
+            named = lang[i:j][row]
             for name in dict.fromkeys(lang[i:j].tolist()):
-                grams, count = np.unique(seen[named == name, 1], return_counts=True)
+                grams, count = np.unique(h[named == name], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
 
 

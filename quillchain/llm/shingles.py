@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 
-from .flat import U64, Rolling, mix, words
+from .flat import U64, mix, words
 
 WIDTH = 5
 _STEP = [U64((0xA0761D6478BD642F * (2 * k + 3)) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(WIDTH)]
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash a word: the sum of a random value for each (byte, place in the word).  No
+    polynomial, so strings built against a public base collide no sooner than others."""
+    place = np.arange(len(raw), dtype=np.int64)
+    size = ends - starts
+    inside = np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    value = np.zeros(len(raw) + 1, U64)
+    value[inside + 1] = mix((raw[inside].astype(U64) | ((place[inside] - np.repeat(starts, size)).astype(U64) << U64(8))) * U64(0xD1B54A32D192ED03) + U64(1))
+    np.cumsum(value, out=value)
+    return mix(value[ends] - value[starts] + size.astype(U64))
+
+
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in text order, first): ``first`` has where each row's shingles begin.
 
@@ -20,7 +32,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
     n = np.diff(first)
     if not len(starts):
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    h = Rolling(raw).of(starts, ends)
+    h = word_hashes(raw, starts, ends)
     got = np.zeros(len(h), U64)
     for k in range(width):
         got[: len(h) - k] += mix(h[k:] + U64(k)) * _STEP[k]

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillchain.llm import bagminhash, contamination, files, langid, media, mixing, sharding, site_style, suffix_dedup, url_filter, warc
+from quillchain.llm import bagminhash, contamination, files, flat, langid, media, mixing, sharding, site_style, suffix_dedup, url_filter, warc
 from quillchain.llm.flat import SPACES
 
 RNG = random.Random(7)
@@ -395,13 +395,43 @@ def test_near_duplicates(spark):
     assert bagminhash.near_duplicates(table(spark, rows).limit(0)).collect() == []
 
 
+def test_blocks_settle_what_stars_leave_open(spark):
+    """Buckets of texts that share most registers of a band, yet are below 0.8, never halve."""
+    base = prose(200, 78).split()
+    rows = [(k, " ".join(w if (i * 7 + k * 13) % 199 > 4 else f"w{k}x{i}" for i, w in enumerate(base)), "en", "a") for k in range(40)]
+    rows += [(100 + k, rows[k][1] + " tail", "en", "a") for k in range(0, 40, 3)]
+    got = bagminhash.near_duplicates(table(spark, rows), block=3).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter(zip([r[0] for r in rows], brute_classes(rows)))
+    names = [(k, (k, k), (k % 2, 0)) for k in range(8)]
+    units = spark.createDataFrame([(n, list(range(20 + (k > 5))), bytes(80)) for k, n, _ in names], f"node {bagminhash.NODE}, units array<long>, sketch binary")
+    open_ = spark.createDataFrame([(1, n, c) for _, n, c in names], f"key long, node {bagminhash.NODE}, comp {bagminhash.NODE}")
+    found = bagminhash.block_links(open_, units, 3).collect()
+    assert found and all(r.a.a % 2 != r.b.a % 2 and r.similarity >= 0.8 for r in found)
+
+
 def test_bagminhash_estimates_weighted_jaccard():
-    a, b = prose(400, 5), prose(300, 5) + " " + prose(100, 6)
-    raws = [x.encode() for x in (a, b)]
-    best = bagminhash.signatures(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]))
-    share = float((best[0] == best[1]).mean())
-    x, y = bag(a), bag(b)
-    assert abs(share - sum((x & y).values()) / sum((x | y).values())) < 0.2
+    """Registers of weighted multisets agree as often as their overlap says, all in all."""
+    off, rng = [], random.Random(9)
+    for k in range(60):
+        words = [f"{k}w{i}" for i in range(30)]
+        x = [w for w in words for _ in range(rng.choice((0, 1, 1, 2, 5, 6, 11)))]
+        y = [w for w in words for _ in range(rng.choice((0, 1, 1, 2, 5, 6, 11)))]
+        one, two = Counter(x), Counter(y)
+        want = sum((one & two).values()) / sum((one | two).values())
+        code = {w: i for i, w in enumerate(words)}
+        row = np.repeat([0, 1], [len(one), len(two)])
+        sh = flat.mix(np.array([code[w] + 100 * k for c in (one, two) for w in c], np.uint64))
+        times = np.array([n for c in (one, two) for n in c.values()])
+        best = bagminhash.registers(row, sh, times, 2)
+        off.append((best[0] == best[1]).mean() - want)
+    assert abs(np.mean(off)) < 0.025 and np.std(off) < 0.09
+
+
+def test_recall_at_small_scale_is_complete(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()}
+    assert [got[r[0]] for r in rows] == brute_classes(rows)
 
 
 # --- op10
