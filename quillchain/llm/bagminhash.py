@@ -26,6 +26,7 @@ from .shingles import counted, shingles
 BANDS, ROWS = 20, 4  # a pair at 0.8 shares no band with probability (1 - 0.8**4)**20 < 3e-5
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
+PAIRS_A_TASK = 4000
 BLOCK = 256  # members a block; two blocks are compared at a time
 LEAST_AGREE = 44  # of 80 registers: a pair at 0.8 has fewer with probability below 1e-7
 _STEP, _WAIT, _REGISTER, _LEFT, _RIGHT = (U64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
@@ -254,11 +255,11 @@ def units_of(asked: DataFrame, buckets: DataFrame) -> DataFrame:
     This is the one shuffle of texts, by a sort-merge join at every size; copies of one
     text go before the aggregation that makes nodes distinct, batch by batch.
     """
-    wanted = buckets.select("node").distinct().hint("merge")
-    some = asked.select("node", "text").where("node is not null").join(wanted, "node", "left_semi")
+    wanted = written(buckets.select("node").distinct(), "bag-wanted")  # plain on both sides, so that a hot key can be split
+    some = asked.select("node", "text").where("node is not null").join(wanted.hint("merge"), "node", "left_semi")
     rows = written(some.mapInArrow(_unit_rows, f"node {NODE}, units array<long>, sketch binary"), "bag-unit-rows")
     units = written(rows.groupBy("node").agg(F.first(F.struct("units", "sketch")).alias("u")).select("node", "u.units", "u.sketch"), "bag-units")
-    discard(asked.sparkSession, rows)
+    discard(asked.sparkSession, wanted, rows)
     return units
 
 
@@ -287,19 +288,19 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     while before:
         first = F.min(F.struct(F.xxhash64("key", "node", F.lit(rounds)).alias("h"), "node", "comp")).alias("p")
         pivots = open_.groupBy("key").agg(first).select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-        state = written(open_.join(pivots, "key"), "bag-round")
+        state = written(open_.join(pivots, "key"), "bag-round", rows=before)
         pairs = state.where("comp <> pivot_comp").select(F.least("node", "pivot").alias("p"), F.greatest("node", "pivot").alias("q")).distinct()
-        links = links.union(written(verified(pairs, units), "bag-links"))
+        links = links.union(written(verified(pairs, units), "bag-links", rows=before, per_file=PAIRS_A_TASK))
         old_stars, stars = stars, written(connected_components(links.select("a", "b")), "bag-stars")
         left = state.where("node <> pivot").select("key", "node").join(stars, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-        left = written(left, "bag-left")
+        left = written(left, "bag-left", rows=before)
         several = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        old_open, open_ = open_, written(left.join(several, "key"), "bag-open")
+        old_open, open_ = open_, written(left.join(several, "key"), "bag-open", rows=before)
         discard(spark, state, left, *([old_open, old_stars] if rounds else []))
         rounds, last, before = rounds + 1, before, open_.count()
         if 2 * before > last:
             links = links.union(written(block_links(open_, units, block), "bag-links"))
-            old_stars, stars = stars, written(connected_components(links.select("a", "b")), "bag-stars")
+            old_stars, stars = stars, written(connected_components(links.select("a", "b")), "bag-stars", rows=last)
             discard(spark, old_stars)
             break
     if rounds:

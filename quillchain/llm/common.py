@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS_A_TASK = 20_000
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
@@ -29,24 +30,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillchain/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quillchain/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "zstd", rows: int | None = None, per_file: int = ROWS_A_TASK) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here,
     and a lost executor costs only a re-read.  Spark drops the job's shuffle files as soon
-    as the table is there."""
+    as the table is there.  ``rows``, if about known, sizes the tasks that write it: small
+    tables get few files, large ones as many as the session deals out."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
-    old = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    if rows is not None:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(n) if (n := 1 + rows // per_file) < most else df
+    with settings(spark, **{CLEANUP: "true"}):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots written as __) that hold inside the block."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def slim_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bounds the bytes of an Arrow batch for this session, unless it has a bound already:
     by default only rows are counted, and 10,000 long texts are too much for a worker."""
@@ -54,6 +73,13 @@ def slim_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that this application's operators have written, once their
+    results have been consumed: results that are still lazy read some of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by ``written`` that no later step reads."""
     for df in tables:
@@ -62,12 +88,6 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of plans that are out of use."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
     return tuple(row)
@@ -92,7 +112,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         joined = large.join(down, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         small = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        old, e = e, written(small, label)
+        old, e = e, written(small, label, rows=seen[0])
         now = _fingerprint(e)
         discard(e.sparkSession, old)
         if now == seen:
