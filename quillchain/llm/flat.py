@@ -10,7 +10,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
-_INV = U64(pow(int(_BASE), -1, 1 << 64))
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,36 +44,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
+def grams(raw: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` bytes (at most 16) from every place that has so many left."""
+    size = max(0, len(raw) - n + 1)
+    words = []
+    for low in range(0, n, 8):
+        word = np.zeros(size, U64)
+        for k in range(low, min(n, low + 8)):
+            word |= raw[k : k + size].astype(U64) << U64(8 * (k - low))
+        words.append(word)
+    out = mix(words[0] + U64(n))
+    return out if len(words) == 1 else mix(out * _BASE + words[1])
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE), np.full(n, _INV)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+PRIME = U64((1 << 61) - 1)
+
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(19, int(n - 1).bit_length())
-    up, down = _powers(size)
-    return up[:n], down[:n]
+
+def mulmod(a, b) -> np.ndarray:
+    """Products modulo 2**61 - 1, of numbers below it."""
+    low31, low30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+    ah, al, bh, bl = a >> U64(31), a & low31, b >> U64(31), b & low31
+    middle = al * bh + ah * bl
+    return _reduced(ah * bh * U64(2) + (middle >> U64(30)) + ((middle & low30) << U64(31)) + al * bl)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo the prime."""
+    out = []
+    for base in (int(_BASE) % int(PRIME), pow(int(_BASE), -1, int(PRIME))):
+        got, size = np.ones(n, U64), 1
+        while size < n:
+            more = min(size, n - size)
+            got[size : size + more] = mulmod(got[:more], U64(pow(base, size, int(PRIME))))
+            size += more
+        out.append(got)
+    return out[0], out[1]
 
 
 class Rolling:
-    """Hashes of any byte ranges of one buffer from prefix sums: equal content, equal hash."""
+    """Hashes of any short byte ranges of one buffer from prefix sums: a polynomial modulo
+    the prime 2**61 - 1.  Equal content, equal hash; ranges of different content of L bytes
+    have equal hashes for L in 2**61 bases at most."""
 
     def __init__(self, raw: np.ndarray):
-        up, self.down = powers(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, U64)
-        np.cumsum(_TABLE[raw] * up[:-1], out=self.sums[1:], dtype=U64)
+        up, self.down = _powers(1 << max(19, int(len(raw)).bit_length()))
+        byte = raw.astype(U64) + U64(1)
+        self.low, self.high = np.zeros(len(raw) + 1, U64), np.zeros(len(raw) + 1, U64)
+        np.cumsum(byte * (up[: len(raw)] & U64(0xFFFFFFFF)), out=self.low[1:])
+        np.cumsum(byte * (up[: len(raw)] >> U64(32)), out=self.high[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
-
-    def of_length(self, n: int) -> np.ndarray:
-        """For every start with ``n`` bytes left."""
-        return mix((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n])
+        """Of ranges of at most 2**20 bytes: their sums then fit in 64 bits."""
+        value = _reduced((self.low[ends] - self.low[starts]) % PRIME + mulmod((self.high[ends] - self.high[starts]) % PRIME, U64(1 << 32)))
+        return mix(mulmod(value, self.down[starts]) + (ends - starts).astype(U64) * _BASE)
 
 
 SPACES = np.zeros(256, bool)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slim_batches
-from .flat import U64, Rolling, chunks, flat, mix
+from .flat import U64, chunks, flat, grams, mix
 
 GRAMS = (3, 5)  # byte lengths
 SLOTS = 1 << 20
@@ -59,13 +59,12 @@ def gram_hashes(col: pa.Array, limit: int = SLICE) -> Iterator[tuple[np.ndarray,
     for low in range(0, len(text), limit):
         high = min(len(text), low + limit)
         part = text[low : high + max(GRAMS) - 1]
-        roll = Rolling(part)
         row = np.searchsorted(ends, np.arange(low, low + len(part)), "right") - 1
         for k in GRAMS:
             m = min(high - low, len(part) - k + 1)
             if m > 0:
                 inside = (row[:m] == row[k - 1 : k - 1 + m]) & ~((part[:m] == 32) & (part[1 : m + 1] == 32))
-                yield roll.of_length(k)[:m][inside], row[:m][inside]
+                yield grams(part, k)[:m][inside], row[:m][inside]
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,34 +1,38 @@
 """Exact removal of long repeated byte strings with a logarithmic family of suffix arrays.
 
 The arrays are sparse: of all suffixes those are kept that start at an anchor, the least
-16-gram hash of some window of 192 starts.  Where two strings of 400 bytes are equal,
-their anchors lie at the same offset, and the suffixes from there agree in 208 bytes at
-least; an array is therefore ordered by the fingerprint of that prefix, the only part of
-lexicographic order that matters to a fixed length, and two arrays are compared by one
-merge scan.  New batches get arrays of their own, are scanned against every level, and
-levels of equal size merge, so a suffix is rewritten a logarithmic number of times.
-
-What the scan cannot decide, suffixes whose prefixes agree but whose surroundings differ,
-is settled by comparing the 400-byte strings of one representative each.
+16-gram hash of some window of 272 starts.  Where two strings of 400 bytes are equal,
+their anchors lie at the same offset, and the suffixes from there agree in 128 bytes at
+least.  A level of the family is a table of suffixes in lexicographic order of these bytes,
+in which an interval of suffixes with the same 128 bytes is one row with its length; it is
+stored in sorted buckets, so two levels are scanned against each other, and merged, by one
+pass over both, without a shuffle or a sort.  New batches get arrays of their own, are
+scanned against every level, and levels of equal size merge, so a suffix is rewritten a
+logarithmic number of times.
+
+Suffixes that the scans find again are candidates; whether and how far the bytes around
+them agree is settled by their whole surroundings, one representative of each kind.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, written
-from .flat import U64, Rolling, chunks, flat, mix
+from .bagminhash import NODE, node_of
+from .common import CLEANUP, discard, settings, shared_path, slim_batches, written
+from .flat import U64, Rolling, chunks, flat, grams, mix
 
-LENGTH, GRAM, WINDOW = 400, 16, 192
+LENGTH, GRAM, WINDOW = 400, 16, 272
 PREFIX = LENGTH - WINDOW  # bytes that equal strings share from their anchor on
 BATCHES = 4
 STEP = 24  # starts are first compared in groups of so many
-RUN = "k long, c long, node long, lo int, n int, back int"
+SUFFIX = f"s binary, c long, node {NODE}, lo int, n int, back int"
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray):
@@ -44,7 +48,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray):
         return (np.zeros(0, np.int64),) * 4 + (roll,)
     bits = max(1, int(len(raw)).bit_length())
     low = U64((1 << bits) - 1)
-    value = (roll.of_length(GRAM) & ~low) | np.arange(len(raw) - GRAM + 1, dtype=U64)
+    value = (grams(raw, GRAM) & ~low) | np.arange(len(raw) - GRAM + 1, dtype=U64)
     pad = (-len(value)) % WINDOW
     grid = np.concatenate([value, np.full(pad, ~U64(0))]).reshape(-1, WINDOW)
     ahead = np.minimum.accumulate(grid, 1).ravel()
@@ -65,73 +69,111 @@ def anchors(raw: np.ndarray, offsets: np.ndarray):
 
 
 def _suffixes(batches):
-    """(node, text) to RUN rows: k the prefix fingerprint, c that of all bytes that the
-    run's strings cover, lo and n the run, back how far the anchor lies behind lo."""
+    """(node, text) to SUFFIX rows: s the first bytes of the suffix, c the fingerprint of all
+    bytes that the run's strings cover, lo and n the run, back how far the anchor lies
+    behind lo."""
     for batch in batches:
         raw, at = flat(batch.column(1))
         node = batch.column(0)
         for i, j in chunks(at):
             text, own = raw[at[i] : at[j]], at[i : j + 1] - at[i]
             row, lo, n, anchor, roll = anchors(text, own)
-            k = roll.of(anchor, anchor + PREFIX)
             c = mix(roll.of(lo, lo + n - 1 + LENGTH) + (anchor - lo).astype(U64) * U64(1 << 32) + n.astype(U64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), node.slice(i, j - i).take(pa.array(row)), pa.array((lo - own[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((anchor - lo).astype(np.int32))],
-                names=["k", "c", "node", "lo", "n", "back"],
-            )
+            first = np.lib.stride_tricks.sliding_window_view(text, PREFIX)[anchor] if len(anchor) else np.zeros((0, PREFIX), np.uint8)
+            s = pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer((np.arange(len(anchor) + 1) * PREFIX).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(first))])
+            yield pa.RecordBatch.from_arrays([s, pa.array(c.view(np.int64)), node.slice(i, j - i).take(pa.array(row)), pa.array((lo - own[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((anchor - lo).astype(np.int32))], names=["s", "c", "node", "lo", "n", "back"])
 
 
 class SuffixFamily:
-    """Levels of sorted suffix arrays; level i holds 2**i batches or nothing."""
+    """Levels of suffix arrays; level i holds 2**i batches or nothing.
+
+    A level is a table (s, times), bucketed and sorted by s: joins of two levels by s are
+    merge joins of buckets as they are stored.
+    """
 
     def __init__(self, spark):
-        self.spark, self.levels, self.repeated = spark, {}, []
+        self.spark, self.levels, self.names, self.suffixes, self.repeated = spark, {}, {}, [], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _sorted(self):
+        # one file a bucket, written in order, needs no sort when it is read
+        return settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", **{CLEANUP: "true"})
+
+    def _store(self, rows: DataFrame) -> DataFrame:
+        name = f"quill_suffixes_{uuid.uuid4().hex}"
+        writer = rows.write.option("path", shared_path(self.spark, "suffix-level")).option("compression", "zstd")
+        writer.bucketBy(self.buckets, "s").sortBy("s").saveAsTable(name)
+        level = self.spark.table(name)
+        self.names[id(level)] = name
+        return level
+
+    def _drop(self, *levels: DataFrame) -> None:
+        for level in levels:
+            files = level.inputFiles()
+            self.spark.sql(f"DROP TABLE {self.names.pop(id(level))}")
+            for folder in {f.rsplit("/", 1)[0] for f in files}:  # external, so its files stay
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def add(self, texts: DataFrame) -> None:
-        """Adds (node, text) rows: builds their arrays (one sorted run a task, so no key is
-        gathered anywhere), notes every prefix that occurs twice in them or also in a level,
-        and merges levels of equal size."""
-        run = written(texts.mapInArrow(_suffixes, RUN).sortWithinPartitions("k"), "suffix-run")
-        self.repeated.append(written(run.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"), "suffix-own"))
-        for level in self.levels.values():
-            both = run.select("k").distinct().intersect(level.select("k").distinct())
-            self.repeated.append(written(both, "suffix-scan"))
-        size, merged = 0, [run]
-        while size in self.levels:
-            merged.append(self.levels.pop(size))
-            size += 1
-        if size:
-            rows = merged[0]
-            for other in merged[1:]:
-                rows = rows.union(other)
-            new = written(rows.sortWithinPartitions("k"), f"suffix-level{size}")
-            discard(self.spark, *merged)
-            run = new
-        self.levels[size] = run
-        release(self.spark)
+        """Adds (node, text) rows: builds their array, scans it against every level for
+        suffixes that are there already, and merges levels of equal size."""
+        made = written(texts.mapInArrow(_suffixes, SUFFIX), "suffixes")
+        self.suffixes.append(made)
+        with self._sorted():
+            run = self._store(made.groupBy("s").agg(F.count("*").alias("times")))
+            again = run.where("times > 1").select("s")
+            for level in self.levels.values():
+                again = again.union(self.scanned(run, level))
+            self.repeated.append(written(again.select(F.xxhash64("s").alias("k")), "suffix-again"))
+            size = 0
+            while size in self.levels:
+                old = self.levels.pop(size)
+                new = self._store(self.merged(run, old))
+                self._drop(run, old)
+                run, size = new, size + 1
+            self.levels[size] = run
+
+    @staticmethod
+    def scanned(run: DataFrame, level: DataFrame) -> DataFrame:
+        """(s): suffixes of ``run`` that agree with one of ``level`` in all bytes compared."""
+        return run.select("s").join(level.select("s").hint("merge"), "s")
+
+    @staticmethod
+    def merged(run: DataFrame, level: DataFrame) -> DataFrame:
+        """(s, times) of both."""
+        other = level.select("s", F.col("times").alias("more")).hint("merge")
+        both = F.coalesce("times", F.lit(0)) + F.coalesce("more", F.lit(0))
+        return run.select("s", "times").join(other, "s", "full_outer").select("s", both.alias("times"))
 
     def matches(self) -> DataFrame:
-        """RUN rows of all suffixes whose prefix occurs more than once."""
-        keys = self.repeated[0]
-        for more in self.repeated[1:]:
-            keys = keys.union(more)
-        rows = None
-        for level in self.levels.values():
-            rows = level if rows is None else rows.union(level)
+        """(k, c, node, lo, n, back) of all suffixes that occur more than once, k for s."""
+        keys, rows = self.repeated[0], self.suffixes[0]
+        for more, others in zip(self.repeated[1:], self.suffixes[1:]):
+            keys, rows = keys.union(more), rows.union(others)
         keys = written(keys.distinct(), "suffix-keys")
-        out = written(rows.join(keys, "k", "left_semi"), "suffix-matches")
-        discard(self.spark, keys, *self.levels.values(), *self.repeated)
-        self.levels, self.repeated = {}, []
-        release(self.spark)
+        out = written(rows.select(F.xxhash64("s").alias("k"), "c", "node", "lo", "n", "back").join(keys, "k", "left_semi"), "suffix-matches")
+        self._drop(*self.levels.values())
+        discard(self.spark, keys, *self.suffixes, *self.repeated)
+        self.levels, self.suffixes, self.repeated = {}, [], []
         return out
 
 
 def _pieces(batches):
-    """(text, runs) to (k, c, n, back, piece): the bytes that each run's strings cover."""
+    """(node, text, runs) to (k, c, n, back, piece): the bytes that each run's strings cover.
+    Rows come sorted by node, so copies of a text follow one another and one is used."""
+    last = None
     for batch in batches:
-        raw, at = flat(batch.column(0))
-        runs = batch.column(1)
-        owner = np.repeat(np.arange(len(batch)), np.diff(runs.offsets.to_numpy()))
+        nodes = np.stack([x.to_numpy() for x in batch.column(0).flatten()], 1)
+        new = np.ones(len(nodes), bool)
+        new[1:] = (nodes[1:] != nodes[:-1]).any(1)
+        if last is not None and len(nodes):
+            new[0] = (nodes[0] != last).any()
+        last = nodes[-1] if len(nodes) else last
+        batch = batch.take(pa.array(np.flatnonzero(new)))
+        raw, at = flat(batch.column(1))
+        runs = batch.column(2)
+        owner = np.repeat(np.arange(len(batch)), runs.value_lengths().to_numpy())
         k, c, lo, n, back = runs.flatten().flatten()
         start = at[owner] + lo.to_numpy()
         size = n.to_numpy() - 1 + LENGTH
@@ -194,10 +236,8 @@ def repeated_starts(found: DataFrame, texts: DataFrame) -> DataFrame:
     mixed = written(stat.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1").select("k"), "suffix-mixed")
     reps = stat.join(mixed, "k", "left_semi").select("rep.node", F.struct("k", "c", "rep.lo", "rep.n", "rep.back").alias("run"))
     reps = written(reps.groupBy("node").agg(F.collect_list("run").alias("runs")), "suffix-reps")
-    held = texts.join(reps.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    pieces = written(held.join(reps, "node").select("text", "runs").mapInArrow(_pieces, "k long, c long, n int, back int, piece binary"), "suffix-pieces")
-    release(spark)
-
+    held = texts.join(reps.hint("merge"), "node").select("node", "text", "runs")
+    pieces = written(held.mapInArrow(_pieces, "k long, c long, n int, back int, piece binary"), "suffix-pieces")
     groups = written(pieces.mapInArrow(_groups, "k long, c long, j int, core long, whole long"), "suffix-groups")
     key = ["k", "j", "core"]
     shared = groups.groupBy(*key).agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("whole").alias("wa"), F.max("whole").alias("wb"))
@@ -216,8 +256,7 @@ def repeated_starts(found: DataFrame, texts: DataFrame) -> DataFrame:
     part = offs.join(single, ["k", "c"], "left_semi")
     whole = stat.where("times > 1").select("k", "c", F.lit(None).cast("array<struct<off:int,many:int>>").alias("offs"))
     verdict = written(part.select("k", "c", "offs").unionByName(whole), "suffix-verdict")
-    discard(spark, pieces, groups, strings)
-    release(spark)
+    discard(spark, mixed, reps, pieces, groups, shared, marked, strings, again)
 
     rows = written(found.select("k", "c", "node", "lo", "n", "back").distinct(), "suffix-rows").join(verdict, ["k", "c"])
     # off counts back from the anchor: group starts run from anchor - off - many + 1 to anchor - off
@@ -230,45 +269,51 @@ def repeated_starts(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _removed(batches):
-    """(doc_id, text, spans) to the digest columns of op2."""
+    """(doc_id, text, spans) to the digest columns of op2 and the text that is left."""
     for batch in batches:
         raw, at = flat(batch.column(1))
-        spans = batch.column(2).to_pylist()
+        spans = batch.column(2)
         rows = []
         for x in range(len(batch)):
             text = raw[at[x] : at[x + 1]]
-            if not spans[x]:
-                rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
-                continue
-            edge = np.zeros(len(text) + 1, np.int32)
-            np.add.at(edge, [s["start"] for s in spans[x]], 1)
-            np.add.at(edge, [s["start"] + s["len"] - 1 + LENGTH for s in spans[x]], -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            rows.append((len(text), int(gone.sum()), runs, hashlib.sha256(text[~gone]).hexdigest()))
-        a, b, c, d = zip(*rows) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            left, gone_n, runs = text.tobytes(), 0, 0
+            if spans[x].is_valid:
+                start, n = (v.to_numpy() for v in spans[x].values.flatten())
+                edge = np.zeros(len(text) + 1, np.int32)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + n - 1 + LENGTH, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                left, gone_n = text[~gone].tobytes(), int(gone.sum())
+            rows.append((len(text), gone_n, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = [pa.array(v, kind) for v, kind in zip(zip(*rows) if rows else [()] * 5, kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
     Every byte covered by a 400-byte string that also starts anywhere else, in the same
-    document or another, goes; strings are judged on the whole input.  Null texts count as
-    empty; texts under 400 bytes lose nothing; equal texts (and repeated rows) of 400 bytes
-    or more lose all; null ids are passed on; extra columns are ignored.  Texts are told
-    apart by 64-bit hashes, strings by pairs of them.
+    document or another, goes; strings are judged on the whole input.  ``text`` is what is
+    left, with U+FFFD where a cut went through a character; the digest is of the bytes.
+    Null texts count as empty; texts under 400 bytes lose nothing; equal texts (and repeated
+    rows) of 400 bytes or more lose all; texts of any length are taken whole; null ids are
+    passed on; an empty table gives an empty result; extra columns are ignored, whatever
+    their names.  Texts are told apart by 128 bits of hash, suffixes by 128 bytes, and what
+    stands around those by fingerprints modulo the prime 2**61 - 1.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
+    spark = docs.sparkSession
+    slim_batches(spark)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), node_of(text).alias("node"), F.col(text).alias("text"))
     texts = rows.where(F.octet_length("text") >= LENGTH).select("node", "text")
-    family = SuffixFamily(docs.sparkSession)
+    family = SuffixFamily(spark)
     for k in range(batches):
-        family.add(texts.where(F.pmod("node", F.lit(batches)) == k))
+        family.add(texts.where(F.pmod("node.a", F.lit(batches)) == k))
     spans = written(repeated_starts(family.matches(), texts), "suffix-spans")
-    release(docs.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(spans, "node", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = rows.join(spans.hint("merge"), "node", "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(_removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
