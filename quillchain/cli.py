@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--chunk-size-mb", type=at_least(1), default=256, help="largest input split")
     b.add_argument("--batch-size", type=at_least(1000), default=100_000, help="accepted; Spark sizes its own aggregation buffers")
     b.add_argument("--encoding-errors", choices=("strict", "replace", "ignore"), default="strict")
-    b.add_argument("--max-paragraph-mb", type=at_least(1), default=16, help="accepted; paragraphs are never cut")
+    b.add_argument("--max-paragraph-mb", type=at_least(1), default=16, help="a longer paragraph is cut at the end of a line")
     b.add_argument("--temp-dir", help="Spark's local folder")
     b.add_argument("--overwrite", action="store_true")
     b.add_argument("--quiet", action="store_true")
@@ -68,6 +68,34 @@ def session(cores: int = 0, split_mb: int = 128, folder: str | None = None):
     return spark
 
 
+class Progress:
+    """Prints a phase's share done: in place on a terminal, else a line for each tenth."""
+
+    def __init__(self, stream=None):
+        self.stream = stream or sys.stderr
+        self.terminal, self.last = self.stream.isatty(), None
+
+    def __call__(self, phase: str, done: int, of: int, message: str) -> None:
+        share = min(1.0, done / of) if of > 0 else 1.0
+        if self.terminal:
+            self.stream.write(f"\r{phase:>6} {share:6.1%} {message[:50]:50}" + ("\n" if phase == "done" else ""))
+        elif (now := (phase, int(share * 10), message)) != self.last:
+            self.last = now
+            self.stream.write(f"{phase}: {share:.0%} {message}\n")
+        self.stream.flush()
+
+
+def report_lines(report) -> list[str]:
+    from .functions.text import human_bytes
+
+    s = report.stats
+    rows = ", ".join(f"{mode}={n:,}" for mode, n in report.transition_rows.items())
+    lines = [f"built {report.model_path} from {s['source_files']} files, {human_bytes(s['source_bytes'])}; transition rows: {rows}", f"{s['paragraphs']:,} paragraphs, {s['observations']:,} observations"]
+    if s["replacements"]:
+        lines.append(f"{s['replacements']:,} replaced UTF-8 sequences")
+    return [*report.warnings, *lines]
+
+
 def run(args: argparse.Namespace) -> None:
     from .operators.generate import Generator
     from .sources.store import BuildConfig, Model, build_model
@@ -76,16 +104,21 @@ def run(args: argparse.Namespace) -> None:
         from .web import serve
 
         return serve(session(), args.db, args.port)
-    tell = (lambda text: None) if getattr(args, "quiet", True) else lambda text: print(text, file=sys.stderr)
     if args.command == "build-db":
         spark = session(args.workers, args.chunk_size_mb, args.temp_dir)
-        report = build_model(spark, BuildConfig(args.input_dir, args.db, args.order, args.mode, args.encoding_errors, args.overwrite), tell)
-        for line in (*report.warnings, f"{report.model_path}: {report.transition_rows}", f"{report.stats}"):
-            tell(line)
+        config = BuildConfig(args.input_dir, args.db, args.order, args.mode, args.encoding_errors, args.overwrite, args.max_paragraph_mb << 20)
+        report = build_model(spark, config, (lambda *_: None) if args.quiet else Progress())
+        if not args.quiet:
+            print("\n".join(report_lines(report)), file=sys.stderr)
     else:
         print(Generator(Model(session(), args.db), args.seed).generate(args.mode, args.prompt, args.length, args.temperature))
 
 
+def serve_main() -> int:
+    """The HTTP interface alone, as a console script."""
+    return main(["serve", *sys.argv[1:]])
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 done, 1 a known error, 2 bad arguments, 130 interrupted."""
     for stream in (sys.stdout, sys.stderr):

@@ -9,10 +9,11 @@ from ..functions.text import BOS, EOS, char_words_of, cleaned, paragraphs_of, se
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a scan of fewer splits than there are task slots to all of them; larger
-    inputs already have their splits and are left alone."""
+    """Deals a scan of fewer splits than there are task slots to all of them, as a file of
+    one row group cannot be split; larger inputs have their splits and are left alone."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(slots) if splits < slots else df
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

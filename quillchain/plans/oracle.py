@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions.text import ABBREVIATIONS, ALPHABET, BOS, EOS, PUNCT_FROM, PUNCT_TO
+from ..functions.text import ABBREVIATIONS, ALPHABET, BOS, CLEANER_VERSION, EOS, PUNCT_FROM, PUNCT_TO, QUOTED, SPACES_AFTER, SPACES_BEFORE, TOKEN
 from ..operators.query import NOISY_OPENERS, STOPWORDS
 
 _TO = PUNCT_TO.replace("'", "''")
 _FROM = PUNCT_FROM.replace("'", "''")
-_RX = r"\p{Nd}+(?:[.,]\p{Nd}+)*|[\p{L}\p{N}]+(?:[\x27-][\p{L}\p{N}]+)*|\.{3,}|[-/\x22,.;:?!…%{}()\[\]]"
+_RX = TOKEN.replace("'", "''")
 
 
 def _clean(c: str, lowercase: bool = True) -> str:
@@ -113,7 +113,7 @@ _U = "CAST(('0x' || substr(md5(state), 1, 12)) AS BIGINT)::DOUBLE / 281474976710
 
 
 def _detok(s: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace({s}, '\s+([)\]}}%…?!:;.,])', '\1', 'g'), '([{{\[(])\s+', '\1', 'g'), '\x22\s*([^\x22\n]*?)\s*\x22', '\x22\1\x22', 'g'))".replace("'\\x22\\1\\x22'", "'\"\\1\"'")
+    return rf"""trim(regexp_replace(regexp_replace(regexp_replace({s}, '{SPACES_BEFORE}', '\1', 'g'), '{SPACES_AFTER}', '\1', 'g'), '{QUOTED}', '"\1"', 'g'))"""
 
 
 def _values(*rows) -> str:
@@ -175,4 +175,12 @@ p0 AS (SELECT id, {_context("string_split(w[1:2], '')", 2)} AS state, string_spl
     "sentence_fixture": "SELECT * FROM (VALUES " + _values((0, "dr . ali geldi . # sonra gitti !"), (1, '" merhaba . " # sonra ( gitti ! )'), (2, 'dedi . " # gel "'), (3, "prof . dr . can ; bkz . s . # 5 … # evet ? ! # ( son )"), (4, "noktasız cümle")) + ") v(id, sentences)",
     "paragraph_fixture": "SELECT * FROM (VALUES " + _values((1, 0, "bir iki"), (1, 1, "üç"), (1, 2, "dört beş")) + ") v(doc_id, para_no, clean)",
     "event_transitions": "WITH ev AS (SELECT * FROM events WHERE user_id IS NOT NULL)" + _windows("ev", "user_id", "ts, event_id", "event_type", 2, "event") + " SELECT * FROM m",
+    "stored_transitions": WORD2 + " SELECT * FROM m",
+    "stored_backoff": WORD2 + _back() + " SELECT * FROM b",
+    "corpus_files": WORD2 + " SELECT * FROM m",
+    "stored_catalog": "WITH " + TOK + SENT + CW + _words(2) + _chars(2, "c") + f""" SELECT CAST(CASE mode WHEN 'word' THEN 1 ELSE 2 END AS INTEGER) AS id, mode, CAST(2 AS INTEGER) AS state_size, '{CLEANER_VERSION}' AS cleaner_version, TRUE AS complete, count(*) AS transition_rows
+FROM (SELECT * FROM m UNION ALL SELECT * FROM c) GROUP BY mode""",
+    "stored_metadata": "WITH " + TOK + SENT + CW + _words(2) + _chars(2, "c") + f""" SELECT * FROM (VALUES ('build_complete', '1'), ('cleaner_version', '{CLEANER_VERSION}'), ('encoding', 'utf-8'), ('modes', '["word", "char"]'), ('order', '2'), ('schema_version', '1')) v(key, value)
+UNION ALL SELECT 'transition_rows', '{{"word": ' || (SELECT count(*) FROM m) || ', "char": ' || (SELECT count(*) FROM c) || '}}'""",
+    "char_prompts": "SELECT * FROM (VALUES " + _values((0, "ış", None), (1, "iki", "a character prompt is one word at most"), (2, "", None), (3, "aksulu", None), (4, "qwx", "a character prompt keeps to the Turkish alphabet"), (5, "a1", "a character prompt has letters only"), (6, "", None)) + ") v(id, word, problem)",
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import generate, model, query, sequences
-from ..sources.store import scratch_path, write_model
+from ..sources.corpus import read_corpus
+from ..sources.store import Model, scratch, scratch_path, write_model
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +119,7 @@ def transition_frequency(spark, sf_dir):
 
 
 def candidates_with_backoff(spark, sf_dir):
-    m = model.transitions(_docs(spark, sf_dir), 2, "word")
+    m = scratch(model.transitions(_docs(spark, sf_dir), 2, "word"), "model")  # probed three times, built once
     wanted = _prompts(spark, sf_dir).select("id", F.lit("word").alias("mode"), F.concat_ws(fx.SEP, F.element_at("tokens", 1), F.element_at("tokens", 3)).alias("state"))
     return query.candidates(m, model.backoff(m), wanted).drop("mode")
 
@@ -129,7 +130,8 @@ def greedy_next(spark, sf_dir):
 
 def _distribution(temperature):
     def run(spark, sf_dir):
-        d = query.distribution(model.transitions(_docs(spark, sf_dir), 2, "word"), ["state"], temperature)
+        m = scratch(model.transitions(_docs(spark, sf_dir), 2, "word"), "model")  # joined with its own sums
+        d = query.distribution(m, ["state"], temperature)
         return d.select("state", "next_token", "frequency", F.round(F.col("probability") + 1e-9, 6).alias("probability"))
 
     return run
@@ -188,30 +190,73 @@ def output_trigrams(spark, sf_dir):
 
 
 def greedy_walk_word(spark, sf_dir):
-    m = model.transitions(_docs(spark, sf_dir), 2, "word").persist()
+    m = scratch(model.transitions(_docs(spark, sf_dir), 2, "word"), "model")
     out = generate.greedy_walk(m, model.backoff(m), _prompts(spark, sf_dir), "word", 6)
     return out.select("id", F.array_join("output", " ").alias("walk"))
 
 
 def greedy_walk_char(spark, sf_dir):
-    m = model.transitions(_docs(spark, sf_dir), 2, "char").persist()
+    m = scratch(model.transitions(_docs(spark, sf_dir), 2, "char"), "model")
     p = _prompts(spark, sf_dir).select("id", F.explode(F.slice(fx.char_words_of(F.col("tokens")), 1, 1)).alias("w")).select("id", F.slice(F.split("w", ""), 1, 2).alias("output"))
     out = generate.greedy_walk(m, model.backoff(m), p.withColumn("state", query.context_of(F.col("output"), 2)), "char", 6)
     return out.select("id", F.array_join("output", "").alias("walk"))
 
 
+def _stored(spark, sf_dir, mode: str = "word") -> Model:
+    path = scratch_path(spark, "stored-model")
+    write_model(model.transitions(_docs(spark, sf_dir), 2, mode), path, 2, mode)
+    return Model(spark, path)
+
+
 def seeded_generate(spark, sf_dir):
     """Seeded word walks with temperature, topic restarts and trigram blocking over a model
     built from all documents and stored."""
-    path = scratch_path(spark, "seeded-model")
-    write_model(model.transitions(_docs(spark, sf_dir), 2, "word"), path, 2, "word")
     p = spark.createDataFrame([(1, "The"), (2, "in the"), (3, "")], "id long, prompt string")
-    return generate.generate_batch(p, path, "word", 8, 0.8, 42)
+    return generate.generate_batch(p, _stored(spark, sf_dir), "word", 8, 0.8, 42)
+
+
+def greedy_generate_char(spark, sf_dir):
+    """Pseudo-words at temperature 0 from a stored model, by the walk that seeds take, too."""
+    p = spark.createDataFrame([(1, "s"), (2, "ka"), (3, ""), (4, "two words"), (5, "x1")], "id long, prompt string")
+    return generate.generate_batch(p, _stored(spark, sf_dir, "char"), "char", 6, 0.0, 42)
+
+
+def stored_transitions(spark, sf_dir):
+    """The final model table as read back from its folder."""
+    return _stored(spark, sf_dir).transitions.select("mode", "state", "next_token", "frequency")
+
+
+def stored_backoff(spark, sf_dir):
+    return _stored(spark, sf_dir).backoff.select("mode", "last_token", "next_token", "frequency")
+
+
+def stored_catalog(spark, sf_dir):
+    return _stored(spark, sf_dir, "both").models
+
+
+def stored_metadata(spark, sf_dir):
+    """What a finished build says of itself, but for the time."""
+    m = _stored(spark, sf_dir, "both")
+    return spark.read.parquet(f"{m.path}/metadata").where("key <> 'created_utc'")
+
+
+def corpus_files(spark, sf_dir):
+    """Transitions of a corpus of text files, a paragraph a document, read in small splits."""
+    path = scratch_path(spark, "corpus")
+    _docs(spark, sf_dir).select("text").where("text is not null").write.option("lineSep", "\n\n").text(path)
+    return model.transitions(read_corpus(spark, path), 2, "word")
+
+
+def char_prompts(spark, sf_dir):
+    """The prefix each of these prompts gives a character walk, or why it gives none."""
+    c = fx.cleaned(_fixture(spark, "char_prompts"), "text", "clean")
+    return c.select("id", fx.char_prompt(fx.tokens_of(F.col("clean"))).alias("p")).select("id", "p.word", "p.problem")
 
 
 _SAMPLES = {
     "turkish_lower_fixture": ["I İ i ı", "IĞDIR İZMİR KIŞ IŞIĞI", "I" + chr(0x307) + "STANBUL", "KÂĞIT MİLLÎ SÜKÛN", "ﬁrat  ＡＢＣ ½"],
     "punct_fixture": ["Ankara’da, İzmir‘de; Türkiyeʼnin", "a´b", "bekle.... dur… son...", "a" + chr(0x200D) + "b" + chr(0xAD) + "c" + chr(9) + "d", "„x“ «y» – — −", "42abc 2024-01-02 3'te café42 a_b"],
+    "char_prompts": ["IŞ", "iki kelime", "", "ak-su'lu", "qwx", "a1", "…!"],
     "sentence_fixture": ["Dr. Ali geldi. Sonra gitti!", '"Merhaba." Sonra (gitti!)', 'Dedi. "Gel"', "Prof. Dr. Can; bkz. s. 5... Evet?! (Son)", "noktasız cümle"],
 }
 
@@ -253,7 +298,7 @@ QUERIES = {
         clean_text_docs, clean_text_cased, paragraphs_docs, tokenize_docs, lexical_token_counts, sentences_docs, detokenize_sentences, char_words, char_words_loose,
         model_row_counts, build_stats, source_totals, exact_lookup, backoff_lookup, transition_frequency, candidates_with_backoff, greedy_next, sample_next,
         topic_starts, topic_restarts, no_repeat_filter, noisy_opener_filter, state_encode_decode, merge_models, generator_context, output_trigrams,
-        greedy_walk_word, greedy_walk_char, seeded_generate, turkish_lower_fixture, punct_fixture, sentence_fixture, paragraph_fixture, event_transitions,
+        greedy_walk_word, greedy_walk_char, seeded_generate, greedy_generate_char, stored_transitions, stored_backoff, stored_catalog, stored_metadata, corpus_files, char_prompts, turkish_lower_fixture, punct_fixture, sentence_fixture, paragraph_fixture, event_transitions,
     )
 }
 QUERIES |= {f"word_transitions_o{n}": _transitions(n, "word") for n in (1, 2, 3)}

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -15,7 +18,7 @@ from ..errors import ConfigurationError, CorpusError, ModelError
 from ..functions.text import CLEANER_VERSION, SEP, human_bytes
 from ..operators.model import backoff, build_stats, modes_of, row_counts, transitions_of_tokens
 from ..operators.sequences import token_rows
-from .corpus import POLICIES, fingerprints, read_corpus
+from .corpus import MOST_BYTES, POLICIES, fingerprints, malformed_at, read_corpus
 
 SCHEMA_VERSION = "1"
 
@@ -28,6 +31,7 @@ class BuildConfig:
     mode: str = "word"
     errors: str = "strict"
     overwrite: bool = False
+    most_paragraph_bytes: int = MOST_BYTES
 
     def check(self) -> None:
         modes_of(self.mode)
@@ -35,6 +39,8 @@ class BuildConfig:
             raise ConfigurationError("order must be at least 1")
         if self.errors not in POLICIES:
             raise ConfigurationError(f"errors is one of {', '.join(POLICIES)}")
+        if self.most_paragraph_bytes < 1024:
+            raise ConfigurationError("a paragraph may have 1024 bytes at least")
 
 
 @dataclass(frozen=True)
@@ -60,6 +66,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def scratch(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: plans that use it more than once compute it
+    once, and a lost executor costs a re-read."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``scratch`` that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p, fs = _path(df.sparkSession, folder)
+            fs.delete(p, True)
+
+
 def space_warning(spark: SparkSession, config: BuildConfig, source_bytes: int) -> str | None:
     """Set if the store has less room than twice (both modes: three times) the source."""
     p, fs = _path(spark, config.model_path)
@@ -67,9 +89,11 @@ def space_warning(spark: SparkSession, config: BuildConfig, source_bytes: int) -
     return f"{human_bytes(free)} free, {human_bytes(need)} recommended" if free < need else None
 
 
-def write_model(model: DataFrame, path: str, order: int, mode: str, sources: DataFrame | None = None, extra: dict | None = None, overwrite: bool = False) -> dict[str, int]:
+def write_model(model: DataFrame, path: str, order: int, mode: str, sources: DataFrame | None = None, extra: dict | None = None, overwrite: bool = False, last_check: Callable[[], None] = lambda: None, tell: Callable[..., None] = lambda *_: None) -> dict[str, int]:
     """Writes all tables to a staging folder and renames it to ``path``; any failure
-    removes the staging folder and leaves what was there.  Returns rows by mode.
+    removes the staging folder and leaves what was there: a model that is replaced is
+    renamed aside first and deleted last.  ``last_check`` runs right before that.  Returns
+    rows by mode.
 
     Files are sorted by state (backoff: by last token), so that min/max statistics let
     a point lookup skip nearly all row groups.
@@ -80,9 +104,11 @@ def write_model(model: DataFrame, path: str, order: int, mode: str, sources: Dat
         raise ModelError(f"{path} exists already")
     stage = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     staged, _ = _path(spark, stage)
+    aside, _ = _path(spark, stage.replace(".staging-", ".replaced-"))
     try:
         model.repartitionByRange("mode", "state").sortWithinPartitions("mode", "state", "next_token").write.partitionBy("mode").parquet(f"{stage}/transitions")
         stored = spark.read.parquet(f"{stage}/transitions")
+        tell("merge", 0, 1, "first-order table")
         backoff(stored).repartitionByRange("mode", "last_token").sortWithinPartitions("mode", "last_token", "next_token").write.partitionBy("mode").parquet(f"{stage}/backoff")
         rows = {r["mode"]: r["transition_rows"] for r in row_counts(stored).collect()}
         for m in modes_of(mode):
@@ -93,45 +119,80 @@ def write_model(model: DataFrame, path: str, order: int, mode: str, sources: Dat
         told = {"schema_version": SCHEMA_VERSION, "build_complete": "1", "cleaner_version": CLEANER_VERSION, "created_utc": datetime.now(timezone.utc).isoformat(), "order": order, "modes": list(modes_of(mode)), "transition_rows": rows, "encoding": "utf-8"} | (extra or {})
         pairs = [(k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in sorted(told.items())]
         spark.createDataFrame(pairs, "key string, value string").coalesce(1).write.parquet(f"{stage}/metadata")
+        last_check()
         if fs.exists(final):
             if not overwrite:
                 raise ModelError(f"{path} appeared meanwhile")
-            fs.delete(final, True)
+            if not fs.rename(final, aside):
+                raise ModelError(f"{path} could not be renamed")
         if not fs.rename(staged, final):
+            if fs.exists(aside):
+                fs.rename(aside, final)
             raise ModelError(f"{stage} could not be renamed to {path}")
+        fs.delete(aside, True)
     except BaseException:
         fs.delete(staged, True)
         raise
     return rows
 
 
-def build_model(spark: SparkSession, config: BuildConfig, progress=lambda text: None) -> BuildReport:
-    """A corpus folder to a stored model.  Sources must be the same before and after."""
+class Ticker:
+    """Tells, twice a second, how many of the running jobs' tasks are done."""
+
+    def __init__(self, spark: SparkSession, tell: Callable[..., None], phase: str, message: str):
+        self.tracker, self.tell, self.phase, self.message = spark.sparkContext.statusTracker(), tell, phase, message
+        self.over = threading.Event()
+
+    def __enter__(self):
+        self.tell(self.phase, 0, 1, self.message)
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+        return self
+
+    def _run(self) -> None:
+        while not self.over.wait(0.5):
+            stages = [x for k in self.tracker.getActiveStageIds() if (x := self.tracker.getStageInfo(k))]
+            if total := sum(x.numTasks for x in stages):
+                self.tell(self.phase, sum(x.numCompletedTasks for x in stages), total, self.message)
+
+    def __exit__(self, *_):
+        self.over.set()
+        self.thread.join()
+
+
+def build_model(spark: SparkSession, config: BuildConfig, progress: Callable[[str, int, int, str], None] = lambda *_: None) -> BuildReport:
+    """A corpus folder to a stored model.  Sources must be the same before and after.
+
+    ``progress`` is told (phase, done, of, message); phases are scan, index, merge, done.
+    """
     config.check()
     final, fs = _path(spark, config.model_path)
     if fs.exists(final) and not config.overwrite:
         raise ModelError(f"{config.model_path} exists already")
-    corpus = read_corpus(spark, config.input_path, config.errors)
+    docs = read_corpus(spark, config.input_path, config.errors, most_bytes=config.most_paragraph_bytes)
     before = fingerprints(spark, config.input_path).collect()
-    progress(f"{len(before)} files")
     size = sum(r.size_bytes for r in before)
+    progress("scan", len(before), len(before), f"{len(before)} files, {human_bytes(size)}")
     warned = space_warning(spark, config, size)
-    docs = corpus.persist()
-    try:
-        tokens = token_rows(docs)
-        stats = build_stats(tokens, docs).first().asDict() | {"replacements": docs.agg(F.sum("replacements")).first()[0] or 0, "source_bytes": size}
-        progress(f"{stats['paragraphs']} paragraphs, {stats['observations']} observations")
-        model = transitions_of_tokens(tokens, config.order, config.mode)
-        sources = spark.createDataFrame(before, "path string, size_bytes long, modified_ns long")
 
-        def same() -> None:
-            if fingerprints(spark, config.input_path).collect() != before:
-                raise CorpusError("the corpus changed during the build")
+    def same() -> None:
+        if fingerprints(spark, config.input_path).collect() != before:
+            raise CorpusError("the corpus changed during the build")
 
+    tokens = token_rows(docs)
+    try:
+        with Ticker(spark, progress, "index", "paragraphs and observations"):
+            stats = build_stats(tokens, docs).first().asDict() | {"source_files": len(before), "source_bytes": size, "replacements": docs.agg(F.sum("replacements")).first()[0] or 0}
         same()
-        rows = write_model(model, config.model_path, config.order, config.mode, sources, {"encoding_errors": config.errors, "source_files": len(before), "source_bytes": size}, config.overwrite)
-    finally:
-        docs.unpersist()
+        sources = spark.createDataFrame(before, "path string, size_bytes long, modified_ns long")
+        extra = {"encoding_errors": config.errors, "source_files": len(before), "source_bytes": size}
+        with Ticker(spark, progress, "index", "transitions"):
+            rows = write_model(transitions_of_tokens(tokens, config.order, config.mode), config.model_path, config.order, config.mode, sources, extra, config.overwrite, same, progress)
+    except Exception as bad:
+        if found := re.search(r"malformed UTF-8 in (\S+)", str(bad)):
+            raise CorpusError(f"invalid UTF-8 in {found[1]} at byte {malformed_at(found[1])}; --encoding-errors replace goes on without it") from bad
+        raise
+    progress("done", size, size, config.model_path)
     return BuildReport(config.model_path, rows, stats, [warned] if warned else [])
 
 

@@ -12,8 +12,17 @@ from .sources.store import BuildConfig, Model, build_model
 
 MOST_BYTES = 1 << 16
 PAGE = """<!doctype html><meta charset=utf-8><title>quillchain</title>
-<form id=f><input name=prompt placeholder=Prompt><input name=length type=number value=20><input name=temperature value=0.6><select name=mode><option>word<option>char</select><button>Generate</button></form><pre id=o></pre>
-<script>f.onsubmit=async e=>{e.preventDefault();const r=await fetch('/api/generate',{method:'POST',body:JSON.stringify(Object.fromEntries(new FormData(f)))});const j=await r.json();o.textContent=j.text??j.error}</script>"""
+<h2>Generate</h2>
+<form id=f><input name=prompt placeholder=Prompt><input name=length type=number value=20><input name=temperature value=0.6><input name=seed placeholder=Seed><select name=mode><option>word<option>char</select><button>Generate</button></form><pre id=o></pre>
+<h2>Build</h2>
+<form id=b><input name=input placeholder="Folder of .txt files" required><input name=db placeholder="Model folder"><input name=order type=number min=1 value=2><select name=mode><option>word<option>char<option>both</select><label><input name=overwrite type=checkbox>overwrite</label><button>Build</button></form><pre id=s></pre>
+<script>
+const post=async(path,body)=>(await fetch(path,{method:'POST',body:JSON.stringify(body)})).json();
+f.onsubmit=async e=>{e.preventDefault();const j=await post('/api/generate',Object.fromEntries(new FormData(f)));o.textContent=j.text??j.error};
+b.onsubmit=async e=>{e.preventDefault();const d=Object.fromEntries(new FormData(b));d.overwrite=b.overwrite.checked;const j=await post('/api/build',d);s.textContent=j.error??'started';if(!j.error)watch()};
+const watch=async()=>{const j=await(await fetch('/api/status')).json();s.textContent=j.state+' '+j.message;if(j.state=='running')setTimeout(watch,1000)};
+watch()
+</script>"""
 
 
 class Service:
@@ -42,8 +51,8 @@ class Service:
         return dict(self.status)
 
     def _build(self, config: BuildConfig) -> None:
-        def tell(text: str) -> None:
-            self.status = {"state": "running", "message": text}
+        def tell(phase: str, done: int, of: int, message: str) -> None:
+            self.status = {"state": "running", "phase": phase, "done": done, "of": of, "message": f"{phase} {done}/{of} {message}"}
 
         try:
             done = {"state": "done", "message": str(build_model(self.spark, config, tell).transition_rows)}
