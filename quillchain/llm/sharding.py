@@ -20,7 +20,7 @@ from .common import written
 
 SHARDS, ROW_COST = 40, 16
 SLOT_CHUNK = 1 << 10  # written rows that are numbered together
-RANK_CHUNK = 1 << 12  # groups of a size that are ranked together, about
+RANK_CHUNK = 1 << 8  # groups of a size that are ranked together, about
 Classes = Sequence[tuple[int, int]]  # (size, groups of it), sizes falling
 
 
