@@ -10,17 +10,22 @@ the item's shingles that the whole document holds.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bagminhash import NODE, node_of
+from .common import slim_batches
 from .flat import U64, chunks, flat, mix
 from .shingles import shingles
 
 CONTAINMENT = 0.8
 REGISTERS = 64  # an item at 0.8 has Jaccard of 0.19 at least with its window: missed with (1 - 0.19)**64 < 2e-6
-BLOCK_BYTES = 16 << 20  # items are searched in blocks of at most about so many bytes
+BLOCK_BYTES = 32 << 20  # of a block of items as it is broadcast, about
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -30,9 +35,14 @@ def _class(sizes: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of test items: exact shingle sets, and registers by size class."""
+    """A block of distinct test items: exact shingle sets, and registers by size class."""
+
+    #: bytes of an item in a block: a hash and a place in each register, and its shingles
+    @staticmethod
+    def weight(size: Column) -> Column:
+        return REGISTERS * 16 + 8 * (size / 2 + 1) + 200
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list[tuple[int, int]], texts: list[str]):
         raw = [t.encode() for t in texts]
         at = np.cumsum([0, *map(len, raw)])
         h, first = shingles(np.frombuffer(b"".join(raw), np.uint8), at)
@@ -91,15 +101,21 @@ class Items:
         return out
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> list[Items]:
-    """The items with words, in blocks of bounded size; one block is on the driver at a
-    time before it is broadcast."""
-    some = benchmark.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
+def distinct_items(benchmark: DataFrame, text: str) -> DataFrame:
+    """(node, text): the texts of ``benchmark`` that have a word, each once."""
+    some = benchmark.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(node_of(text).alias("node"), F.col(text).alias("text"))
+    return some.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def blocks_of(benchmark: DataFrame, text: str) -> Iterator[Items]:
+    """The distinct items in blocks of about ``BLOCK_BYTES`` as broadcast; one block is on
+    the driver at a time."""
+    items = distinct_items(benchmark, text)
+    size = items.agg(F.sum(Items.weight(F.octet_length("text")))).first()[0] or 0
+    n = math.ceil(size / BLOCK_BYTES)
     for k in range(n):
-        rows = some.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield Items([r.item_id for r in rows], [r.text for r in rows])
+        rows = items.where(F.pmod("node.a", F.lit(n)) == k).collect()
+        yield Items([tuple(r.node) for r in rows], [r.text for r in rows])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -107,38 +123,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     An item is held if the document contains at least 0.8 of its distinct 5-word shingles
     (an item of fewer words is one shingle, held only by a text that is just that item).
-    Documents are scanned once per block of items and never shuffled.  Null and wordless
-    texts hold nothing and are held by nothing; repeated rows give repeated results, as do
-    repeated items; null ids are passed on; empty tables give an empty result.
+    Documents are scanned once per block of items and never shuffled; what is found joins
+    the items' ids by a hash of their text, so equal items are searched once.  Null and
+    wordless texts hold nothing and are held by nothing; very long texts are cut into
+    windows, none of them left out; repeated rows give repeated results, as do repeated
+    items; null ids are passed on; further columns are ignored, whatever their names; empty
+    tables give an empty result.  A held item is missed with a probability below 2e-6;
+    what is returned is verified by 64-bit hashes of all shingles.
     """
     spark = docs.sparkSession
+    slim_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    kinds = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, shingles long, containment double"
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, node {NODE}, shingles long, containment double"
     out = None
-    for items in blocks_of(benchmark, item_id, item_text):
+    for items in blocks_of(benchmark, item_text):
         found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(items)), schema)
         out = found if out is None else out.union(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    out = spark.createDataFrame([], schema) if out is None else out
+    ids = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), node_of(item_text).alias("node"))
+    return out.join(ids, "node").select("doc_id", "item_id", "shingles", "containment")
 
 
 def _searcher(sent):
     def search(batches):
         items = sent.value
-        item_ids = pa.array(items.ids)
+        nodes = pa.StructArray.from_arrays([pa.array([i[k] for i in items.ids], pa.int64()) for k in (0, 1)], ["a", "b"])
         for batch in batches:
             raw, at = flat(batch.column(1))
             for i, j in chunks(at):
                 got = items.held(raw[at[i] : at[j]], at[i : j + 1] - at[i])
                 row, item, n, share = zip(*got) if got else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(row, np.int64) + i)), item_ids.take(pa.array(item, pa.int64())), pa.array(n, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "shingles", "containment"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(row, np.int64) + i)), nodes.take(pa.array(item, pa.int64())), pa.array(n, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "node", "shingles", "containment"])
 
     return search
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item: a narrow filter, rows stay in the JVM."""
-    for items in blocks_of(benchmark, item_id, item_text):
+    slim_batches(docs.sparkSession)
+    for items in blocks_of(benchmark, item_text):
         docs = docs.where(~_holder(docs.sparkSession.sparkContext.broadcast(items))(F.col(text)))
     return docs
 
