@@ -430,7 +430,8 @@ def archived_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     records = written(read_warc(warcs), "warc-records")
     kind = pages.schema[page_id].dataType.simpleString()
     known = records.where("type = 'response'").select(F.col("id").alias("refers_to_id"), F.col("page").alias("to"))
-    out = records.join(known, "refers_to_id", "left")
+    first = records.where("refers_to_id is null").withColumn("to", F.lit(None).cast("string"))  # most records: no key to shuffle by
+    out = first.unionByName(records.where("refers_to_id is not null").join(known, "refers_to_id", "left"))
     return out.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("to").cast(kind).alias("refers_to"), F.col("uri").alias("url"), F.col("date").alias("warc_date"), F.col("id").alias("record_id"))
 
 
