@@ -110,8 +110,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     Whole documents are taken, so a source ends within half the size of the document at
     its budget's end.  Null sources form one source, ranked last; null and wordless texts
-    have size 0 and taken 0; equal rows share a hash and are taken or left together; an
-    empty table gives an empty result.  Other columns are ignored.
+    have size 0 and taken 0; rows equal in id and text share a hash and are taken or left
+    together; texts of any length are counted whole; an empty table gives an empty result.
+    Other columns are ignored, whatever their names.
     """
     sized, marks = plan_mix(docs, doc_id, text, source, weights)
     joined = sized.join(marks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))

@@ -104,8 +104,9 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: Dat
     ``redirects`` may add edges as columns (src, dst) of absolute URLs.  Order of
     precedence: the page's own longest rule; else, in its component of redirects and
     canonical links, an explicit allow before any block; else ``default``.  Null URLs and
-    those without ``://`` have empty host and path and get ``default``; repeated rows are
-    judged alike; other columns of ``pages`` are ignored.
+    those without ``://`` have empty host and path and get ``default``; URLs of any length
+    are compared whole; repeated rows are judged alike; other columns of ``pages`` are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     edges = link_edges(pages, url, html)
     if redirects is not None:

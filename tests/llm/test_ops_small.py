@@ -181,6 +181,32 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.url_verdicts(pages.limit(0)).collect() == []
 
 
+def test_redirects_at_size(spark):
+    """A star of a million aliases, a chain of ten thousand, and a random graph against union-find."""
+    star = spark.range(1_000_000).selectExpr("concat('http://star.test/', id) as src", "'http://a.net/hub' as dst")
+    chain = spark.range(10_000).selectExpr("concat('http://chain.test/', id) as src", "concat('http://chain.test/', id + 1) as dst")
+    end = spark.createDataFrame([("http://chain.test/10000", "http://x.org/fr/end"), ("http://chain.test/5", "http://b.net/")], "src string, dst string")
+    rng = random.Random(12)
+    random_edges = [(f"http://r.test/{rng.randrange(3000)}", f"http://r.test/{rng.randrange(3000)}") for _ in range(2200)] + [(f"http://r.test/{k}", "http://c.net/") for k in rng.sample(range(3000), 9)]
+    edges = star.union(chain).union(end).union(spark.createDataFrame(random_edges, "src string, dst string"))
+    asked = [(k, f"http://star.test/{k * 9973 % 1_000_000}") for k in range(50)] + [(100 + k, f"http://chain.test/{k * 97}") for k in range(100)] + [(1000 + k, f"http://r.test/{k}") for k in range(3000)]
+    pages = spark.createDataFrame([(*a, None) for a in asked], "page_id long, url string, html string")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in random_edges:
+        root[find(a)] = find(b)
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, redirects=edges).collect()}
+    assert all(got[k] == "block" for k, u in asked if "star" in u)
+    assert all(got[k] == "allow" for k, u in asked if "chain" in u)  # an explicit allow before any block
+    assert all((got[k] == "block") == (find(u) == find("http://c.net/")) for k, u in asked if "//r.test" in u)
+    assert len({v for k, v in got.items() if k >= 1000}) == 2
+
+
 # --- op4
 
 
