@@ -242,9 +242,10 @@ def buckets_of(signed: DataFrame) -> DataFrame:
     entries = signed.where("node is not null").select("node", F.explode("bands").alias("key"))
     multi = entries.groupBy("key").agg(F.min("node.a").alias("lo"), F.max("node.a").alias("hi")).where("lo <> hi").select("key")
     members = written(entries.join(multi, "key").select("key", "node").distinct(), "bag-members")
+    n = members.count()
     sums = members.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("f"), F.sum(F.xxhash64("node", F.lit(3)).cast("decimal(20,0)")).alias("g"), F.count("*").alias("n"))
     one = sums.groupBy("f", "g", "n").agg(F.min("key").alias("key")).select("key")
-    buckets = written(members.join(one, "key"), "bag-buckets")
+    buckets = written(members.join(one, "key"), "bag-buckets", rows=n)
     discard(signed.sparkSession, members)
     return buckets
 
@@ -255,10 +256,11 @@ def units_of(asked: DataFrame, buckets: DataFrame) -> DataFrame:
     This is the one shuffle of texts, by a sort-merge join at every size; copies of one
     text go before the aggregation that makes nodes distinct, batch by batch.
     """
-    wanted = written(buckets.select("node").distinct(), "bag-wanted")  # plain on both sides, so that a hot key can be split
+    wanted = written(buckets.select("node").distinct(), "bag-wanted", rows=buckets.count())  # plain on both sides, so that a hot key can be split
     some = asked.select("node", "text").where("node is not null").join(wanted.hint("merge"), "node", "left_semi")
     rows = written(some.mapInArrow(_unit_rows, f"node {NODE}, units array<long>, sketch binary"), "bag-unit-rows")
-    units = written(rows.groupBy("node").agg(F.first(F.struct("units", "sketch")).alias("u")).select("node", "u.units", "u.sketch"), "bag-units")
+    n = rows.count()
+    units = written(rows.groupBy("node").agg(F.first(F.struct("units", "sketch")).alias("u")).select("node", "u.units", "u.sketch"), "bag-units", rows=n, per_file=PAIRS_A_TASK)
     discard(asked.sparkSession, wanted, rows)
     return units
 
@@ -300,7 +302,7 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
         rounds, last, before = rounds + 1, before, open_.count()
         if 2 * before > last:
             links = links.union(written(block_links(open_, units, block), "bag-links"))
-            old_stars, stars = stars, written(connected_components(links.select("a", "b")), "bag-stars", rows=last)
+            old_stars, stars = stars, written(connected_components(links.select("a", "b"), rows=last), "bag-stars", rows=last)
             discard(spark, old_stars)
             break
     if rounds:

@@ -93,28 +93,32 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
+def connected_components(edges: DataFrame, label: str = "cc", rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the least node.
 
-    Alternating large-star and small-star rounds over an edge table, each a partial
-    aggregation plus one equi-join whose build side has one row per node, so adaptive
-    execution may split a hot centre.  Rounds grow with the logarithm of the component
+    Alternating large-star and small-star rounds over an edge table.  Each is a partial
+    aggregation, whose result is stored, and an equi-join of two plain tables, so adaptive
+    execution can split a hot centre.  Rounds grow with the logarithm of the component
     size.  Nulls and self-loops are ignored; the driver sees three numbers a round.
+    ``rows`` is about the number of edges, if known.
     """
+    spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = written(e, label)
+    e = written(e, label, rows=rows)
     seen = _fingerprint(e)
     while seen[0]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(down, "a")
+        least = written(least, f"{label}-least", rows=seen[0])
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, f"{label}-large", rows=seen[0])
+        down = written(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-down", rows=seen[0])
+        joined = large.join(down.hint("merge"), "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         small = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         old, e = e, written(small, label, rows=seen[0])
         now = _fingerprint(e)
-        discard(e.sparkSession, old)
+        discard(spark, old, least, large, down)
         if now == seen:
             break
         seen = now
