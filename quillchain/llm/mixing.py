@@ -15,7 +15,7 @@ from .common import written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # no source and no document is taken more often
-LEVEL_BITS, LEVELS = 15, 4
+LEVEL_BITS, LEVELS = 10, 6  # a source has 1,024 sums a level at most
 WORD = r"[^\x20\x09-\x0D]+"
 
 
