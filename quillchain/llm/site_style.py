@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slim_batches, written
 from .url_filter import host_of
 
 GAMMA = 0.9  # part of the content in a node's importance, to the power of its styles
@@ -55,6 +55,7 @@ FURNITURE_WORDS = frozenset(
     " comment comments disqus respond replies cookie cookies consent gdpr notice notices alert alerts notification notifications popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
     " recommendations widget widgets pagination pager legal disclaimer copyright skip hidden".split()
 )
+UNSEEN_TAGS = frozenset("datalist head iframe noembed noframes noscript script style template textarea title".split())
 COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article articlebody content entry maincontent post postcontent story".split())
@@ -228,10 +229,15 @@ class Page:
                 return  # an inline end tag does not end a block
         return
 
-    def judge(self) -> None:
-        """Sets every node's role.  A class that sounds like furniture doesn't count if it
+    def judge(self, declared: bool = True) -> None:
+        """Sets every node's role; without ``declared`` only what no reader sees has one.  A class that sounds like furniture doesn't count if it
         alone hides all of the page's declared content, as in a wrapper ``with-sidebar``;
         reader comments stay furniture."""
+        if not declared:
+            for node in self.nodes:
+                node.told = FURNITURE if node.tag in UNSEEN_TAGS else NEUTRAL
+                node.role = FURNITURE if node.parent is not None and FURNITURE in (node.parent.role, node.told) else NEUTRAL
+            return
         held = self._roles(frozenset())
         if not held:
             wrappers = set()
@@ -337,22 +343,25 @@ _NODES = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("value
 BATCH_CHARS = 4 << 20
 
 
-def _parse(batches):
-    """(page_id, url, host, html) to PARSED: ``text`` is set where the page itself declares
-    its content, ``open`` has the blocks that the site's tree must judge."""
-    for batch in batches:
-        begin, size, rows = 0, 0, []
-        for k in range(len(batch)):
-            source = batch.column(3)[k].as_py() or ""
-            page = Page(source)
-            page.judge()
-            page.name_nodes()
-            text = page.content()
-            rows.append((_hash(source), text, None if text is not None else page.open_blocks(), page.statistics()))
-            size += len(source)
-            if size >= BATCH_CHARS or k == len(batch) - 1:
-                yield _parsed(batch.slice(begin, k + 1 - begin), rows)
-                begin, size, rows = k + 1, 0, []
+def _parser(declared: bool):
+    def parse(batches):
+        """(page_id, url, host, html) to PARSED: ``text`` is set where the page itself declares
+        its content, ``open`` has the blocks that the site's tree must judge."""
+        for batch in batches:
+            begin, size, rows = 0, 0, []
+            for k in range(len(batch)):
+                source = batch.column(3)[k].as_py() or ""
+                page = Page(source)
+                page.judge(declared)
+                page.name_nodes()
+                text = page.content()
+                rows.append((_hash(source), text, None if text is not None else page.open_blocks(), page.statistics()))
+                size += len(source)
+                if size >= BATCH_CHARS or k == len(batch) - 1:
+                    yield _parsed(batch.slice(begin, k + 1 - begin), rows)
+                    begin, size, rows = k + 1, 0, []
+
+    return parse
 
 
 def _parsed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
@@ -362,10 +371,11 @@ def _parsed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(prints, pa.int64()), pa.array(texts, pa.string()), pa.array(opened, _OPEN), pa.array(nodes, _NODES)], names=["page_id", "url", "host", "print", "text", "open", "nodes"])
 
 
-def parsed_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def parsed_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", declared: bool = True) -> DataFrame:
     """One row per page, see PARSED; a narrow step."""
+    slim_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    return rows.mapInArrow(_parse, PARSED.format(rows.schema["page_id"].dataType.simpleString()))
+    return rows.mapInArrow(_parser(declared), PARSED.format(rows.schema["page_id"].dataType.simpleString()))
 
 
 def importance(parsed: DataFrame, gamma: float = GAMMA) -> DataFrame:
@@ -396,19 +406,22 @@ def importance(parsed: DataFrame, gamma: float = GAMMA) -> DataFrame:
     return sums.select("host", "node", "pages", "styles", F.when(F.col("pages") > 1, whole).otherwise(1.0).alias("importance"))
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES, declared: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_cut.
 
     ``text`` is the page's declared content (article, main, or elements called so) without
     the furniture inside it.  On pages that declare none, blocks outside declared furniture
     are kept unless they stand in a branch of the host's style tree with importance below
     ``least`` on ``least_pages`` pages or more; ``n_cut`` counts blocks that went that way.
+    Without ``declared`` no tag, class or id counts and the tree alone decides on all that
+    a reader sees.
     Blocks are joined by one newline, white space inside a block (and br) is one space,
     character references are decoded; nothing is cut short.  Null and empty html give an
     empty text; null urls and urls without ``://`` share the empty host; repeated rows give
-    equal rows; null ids are passed on; further columns are ignored.
+    equal rows; null ids are passed on; pages of any length are read whole; further columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
-    parsed = written(parsed_pages(pages, page_id, url, html).withColumn("row", F.monotonically_increasing_id()), "html-parsed")
+    parsed = written(parsed_pages(pages, page_id, url, html, declared).withColumn("row", F.monotonically_increasing_id()), "html-parsed")
     settled = parsed.where("text is not null").select("page_id", "url", "text", F.lit(0).alias("n_cut"))
     unsettled = parsed.where("text is null").select("row", "page_id", "url", "host", "open")
     low = importance(parsed).where((F.col("importance") < least) & (F.col("pages") >= least_pages)).select("host", "node")

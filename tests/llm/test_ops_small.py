@@ -438,6 +438,28 @@ def test_language_of_held_out_texts(spark):
     assert langid.identify(unlabelled).first().lang_pred == "und"
 
 
+def test_long_texts_and_many_languages():
+    """A text is judged alike in slices of any size, and 70 languages take two mask words."""
+    pa = langid.pa
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k % 7)}xy" for k in range(70)]
+    texts = pa.array([" ".join([w] * 40) for w in words])
+    whole = [(h.tolist(), r.tolist()) for h, r in langid.gram_hashes(texts)]
+    for limit in (7, 64, 1000):
+        got = [(h.tolist(), r.tolist()) for h, r in langid.gram_hashes(texts, limit)]
+        assert Counter(x for h, r in got for x in zip(h, r)) == Counter(x for h, r in whole for x in zip(h, r))
+    slots = np.zeros((2, langid.SLOTS), np.uint64)
+    for k in range(70):
+        for h, _ in langid.gram_hashes(texts.slice(k, 1)):
+            for at in langid._slots(h):
+                slots[k // 64, at] |= np.uint64(1 << k % 64)
+    model = langid.Model(tuple(f"l{k:02d}" for k in range(70)), slots, np.full(70, 0.001))
+    said, score = langid.judge(texts, model)
+    assert said.to_pylist() == list(model.languages) and (score > 0.99).all()
+    said, score = langid.judge(pa.array([None, "", "12 !", "ß"]), model)
+    assert said.to_pylist()[:3] == ["und"] * 3 and score[:3].tolist() == [0, 0, 0] and said.to_pylist()[3] != "und"
+    assert langid.judge(pa.array([], pa.string()), model)[0].to_pylist() == []
+
+
 # --- op9
 
 
