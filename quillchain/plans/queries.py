@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -164,8 +164,12 @@ def no_repeat_filter(spark, sf_dir):
 
 
 def noisy_opener_filter(spark, sf_dir):
-    g = model.transitions(_docs(spark, sf_dir), 1, "word").groupBy("state").agg(F.array_sort(F.collect_list(F.struct("next_token", "frequency"))).alias("c"))
-    return g.select("state", F.explode(query.without_noisy_openers(F.col("c"))).alias("x")).select("state", "x.next_token", "x.frequency")
+    """Every state's successors without noisy openers, unless it has no others."""
+    m = scratch(model.transitions(_docs(spark, sf_dir), 1, "word"), "model")
+    quiet = ~F.col("next_token").isin(*query.NOISY_OPENERS)
+    states = m.where(quiet).select("state").distinct()
+    only_noisy = m.where(~quiet).join(states, "state", "left_anti")
+    return m.where(quiet).unionByName(only_noisy).select("state", "next_token", "frequency")
 
 
 def state_encode_decode(spark, sf_dir):
@@ -286,10 +290,16 @@ def paragraph_fixture(spark, sf_dir):
 
 def event_transitions(spark, sf_dir):
     """Order-2 transitions of event types in each user's history: beyond the reference."""
-    e = _table(spark, sf_dir, "events").where("user_id is not null")
-    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s"))
-    seq = g.select(F.transform("s", lambda x: x["event_type"]).alias("seq"))
-    return model.count_windows(sequences.windows(seq, 2), 2, "event")
+    e = _table(spark, sf_dir, "events").where("user_id is not null").select("user_id", "ts", "event_id", "event_type")
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    bos = F.lit(fx.BOS)
+    seen = e.select(
+        F.lag("event_type", 2).over(by_user).alias("c0"), F.lag("event_type", 1).over(by_user).alias("c1"), F.col("event_type").alias("c2"), F.lead(F.lit(1)).over(by_user).isNull().alias("last"),
+        F.row_number().over(by_user).alias("n"),
+    )
+    seen = seen.select(F.when(F.col("n") > 2, F.col("c0")).otherwise(bos).alias("c0"), F.when(F.col("n") > 1, F.col("c1")).otherwise(bos).alias("c1"), "c2", "last")
+    ends = F.when(F.col("last"), F.array(F.struct("c0", "c1", "c2"), F.struct(F.col("c1").alias("c0"), F.col("c2").alias("c1"), F.lit(fx.EOS).alias("c2")))).otherwise(F.array(F.struct("c0", "c1", "c2")))
+    return model.count_windows(seen.select(F.explode(ends).alias("z")).select("z.*"), 2, "event")
 
 
 QUERIES = {
