@@ -26,7 +26,7 @@ from .shingles import counted, shingles
 BANDS, ROWS = 20, 4  # a pair at 0.8 shares no band with probability (1 - 0.8**4)**20 < 3e-5
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
-PAIRS_A_TASK = 4000
+PAIRS_A_TASK, UNITS_A_TASK = 4000, 1000
 BLOCK = 256  # members a block; two blocks are compared at a time
 LEAST_AGREE = 44  # of 80 registers: a pair at 0.8 has fewer with probability below 1e-7
 _STEP, _WAIT, _REGISTER, _LEFT, _RIGHT = (U64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
@@ -260,7 +260,7 @@ def units_of(asked: DataFrame, buckets: DataFrame) -> DataFrame:
     some = asked.select("node", "text").where("node is not null").join(wanted.hint("merge"), "node", "left_semi")
     rows = written(some.mapInArrow(_unit_rows, f"node {NODE}, units array<long>, sketch binary"), "bag-unit-rows")
     n = rows.count()
-    units = written(rows.groupBy("node").agg(F.first(F.struct("units", "sketch")).alias("u")).select("node", "u.units", "u.sketch"), "bag-units", rows=n, per_file=PAIRS_A_TASK)
+    units = written(rows.groupBy("node").agg(F.first(F.struct("units", "sketch")).alias("u")).select("node", "u.units", "u.sketch"), "bag-units", rows=n, per_file=UNITS_A_TASK)
     discard(asked.sparkSession, wanted, rows)
     return units
 
