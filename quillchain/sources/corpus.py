@@ -39,6 +39,17 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(hadoop).isDirectory()
 
 
+def _without(files: DataFrame, exclude: str | None) -> DataFrame:
+    """Rows whose ``path`` is neither ``exclude`` nor below it."""
+    if not exclude:
+        return files
+    hadoop = files.sparkSession._jvm.org.apache.hadoop.fs.Path(exclude)
+    full = hadoop.getFileSystem(files.sparkSession._jsc.hadoopConfiguration()).makeQualified(hadoop)
+    for name in {full.toString(), full.toUri().toString()}:  # lines know their file's percent-encoded URI
+        files = files.where((F.col("path") != name) & ~F.col("path").startswith(name + "/"))
+    return files
+
+
 def _reader(spark: SparkSession, path: str, kind: str):
     read = spark.read.format(kind).option("recursiveFileLookup", True)
     return read.option("pathGlobFilter", "*.txt") if _is_folder(spark, path) else read
@@ -46,8 +57,7 @@ def _reader(spark: SparkSession, path: str, kind: str):
 
 def fingerprints(spark: SparkSession, path: str, exclude: str | None = None) -> DataFrame:
     """(path, size_bytes, modified_ns), listed without reading contents."""
-    files = _reader(spark, path, "binaryFile").load(path)
-    files = files.where(F.col("path") != exclude) if exclude else files
+    files = _without(_reader(spark, path, "binaryFile").load(path), exclude)
     return files.select("path", F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns")).orderBy("path")
 
 
@@ -136,8 +146,7 @@ def pieces(spark: SparkSession, path: str, exclude: str | None = None, most_byte
     """
     lines = _reader(spark, path, "text").option("lineSep", "\n").load(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("line"), F.col("value").rlike(r"^[\s\x1c-\x1f]*$").alias("blank"))
-    lines = lines.where(F.col("path") != exclude) if exclude else lines
-    found = lines.mapInArrow(_assembled(most_bytes), PIECE)
+    found = _without(lines, exclude).mapInArrow(_assembled(most_bytes), PIECE)
     edges = found.where(f"edge > {WHOLE}")
     heads = edges.where(f"edge = {HEAD}").select("path", F.col("block").alias("next"), F.col("raw").alias("rest"))
     order = Window.partitionBy("path").orderBy("block")  # a row per split

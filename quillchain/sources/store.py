@@ -169,14 +169,14 @@ def build_model(spark: SparkSession, config: BuildConfig, progress: Callable[[st
     final, fs = _path(spark, config.model_path)
     if fs.exists(final) and not config.overwrite:
         raise ModelError(f"{config.model_path} exists already")
-    docs = read_corpus(spark, config.input_path, config.errors, most_bytes=config.most_paragraph_bytes)
-    before = fingerprints(spark, config.input_path).collect()
+    docs = read_corpus(spark, config.input_path, config.errors, config.model_path, config.most_paragraph_bytes)
+    before = fingerprints(spark, config.input_path, config.model_path).collect()
     size = sum(r.size_bytes for r in before)
     progress("scan", len(before), len(before), f"{len(before)} files, {human_bytes(size)}")
     warned = space_warning(spark, config, size)
 
     def same() -> None:
-        if fingerprints(spark, config.input_path).collect() != before:
+        if fingerprints(spark, config.input_path, config.model_path).collect() != before:
             raise CorpusError("the corpus changed during the build")
 
     tokens = token_rows(docs)

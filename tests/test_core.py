@@ -169,6 +169,9 @@ def test_stored_model(spark, built):
         store.Model(spark, str(top / "nothing"))
     with pytest.raises(CorpusError):
         corpus.read_corpus(spark, str(top / "nothing"))
+    with pytest.raises(CorpusError):
+        corpus.read_corpus(spark, str(top / "in"), exclude=str(top / "in" / "deep"))
+    assert corpus.read_corpus(spark, str(top / "in"), exclude=str(top / "in" / "de")).select("path").distinct().count() == 1
     assert not [p for p in top.iterdir() if "staging" in p.name]
 
 
