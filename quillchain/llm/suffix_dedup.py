@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from .flat import U64, Rolling, chunks, flat, grams, mix
 LENGTH, GRAM, WINDOW = 400, 16, 272
 PREFIX = LENGTH - WINDOW  # bytes that equal strings share from their anchor on
 BATCHES = 4
+SUFFIXES_A_BUCKET = 100_000
 STEP = 24  # starts are first compared in groups of so many
 SUFFIX = f"s binary, c long, node {NODE}, lo int, n int, back int"
 
@@ -91,13 +93,22 @@ class SuffixFamily:
     merge joins of buckets as they are stored.
     """
 
-    def __init__(self, spark):
-        self.spark, self.levels, self.names, self.suffixes, self.repeated = spark, {}, {}, [], []
+    def __init__(self, spark, batches: int = BATCHES):
+        self.spark, self.batches, self.levels, self.names, self.suffixes, self.repeated = spark, batches, {}, {}, [], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def sized_for(self, suffixes: int) -> None:
+        """Fewer buckets, if so many suffixes fill fewer."""
+        self.buckets = min(self.buckets, 1 + suffixes // SUFFIXES_A_BUCKET)
+
+    @contextmanager
     def _sorted(self):
-        # one file a bucket, written in order, needs no sort when it is read
-        return settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", **{CLEANUP: "true"})
+        """Shuffles deal out one task a bucket; a bucket's one file, written in order, needs no
+        sort when it is read."""
+        told = {"spark__sql__legacy__bucketedTableScan__outputOrdering": "true", "spark__sql__shuffle__partitions": str(self.buckets), CLEANUP: "true"}
+        with settings(self.spark, **told):
+            self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            yield
 
     def _store(self, rows: DataFrame) -> DataFrame:
         name = f"quill_suffixes_{uuid.uuid4().hex}"
@@ -119,6 +130,8 @@ class SuffixFamily:
         """Adds (node, text) rows: builds their array, scans it against every level for
         suffixes that are there already, and merges levels of equal size."""
         made = written(texts.mapInArrow(_suffixes, SUFFIX), "suffixes")
+        if not self.suffixes:
+            self.sized_for(made.count() * self.batches)
         self.suffixes.append(made)
         with self._sorted():
             run = self._store(made.groupBy("s").agg(F.count("*").alias("times")))
@@ -307,7 +320,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slim_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), node_of(text).alias("node"), F.col(text).alias("text"))
     texts = rows.where(F.octet_length("text") >= LENGTH).select("node", "text")
-    family = SuffixFamily(spark)
+    family = SuffixFamily(spark, batches)
     for k in range(batches):
         family.add(texts.where(F.pmod("node.a", F.lit(batches)) == k))
     spans = written(repeated_starts(family.matches(), texts), "suffix-spans")

@@ -6,6 +6,7 @@ import io
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -344,6 +345,50 @@ def test_site_style_tree_cuts_templates(spark):
     assert site_style.main_text(pages.limit(0)).collect() == []
 
 
+class Reader(HTMLParser):
+    """The text inside <article>, event by event, by another parser and without a tree."""
+
+    BLOCK = {"article", "h1", "h2", "p", "div", "ul", "li", "nav", "footer", "aside", "section", "table", "tr", "td"}
+    SKIP = {"nav", "footer", "aside", "form", "script", "style"}
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.skip = 0
+        self.blocks = [""]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in self.SKIP
+        if tag in self.BLOCK:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in self.SKIP
+        if tag in self.BLOCK:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(filter(None, (" ".join(b.split()) for b in self.blocks)))
+
+
+def test_main_text_of_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: Reader(r.html or "").text() for r in pages.collect()}
+    got = {r.page_id: r.text for r in site_style.main_text(pages).collect()}
+    assert got == want and sum(map(bool, want.values())) > 200
+    alone = {r.page_id: r.text for r in site_style.main_text(pages, declared=False).collect()}
+    assert all(set(want[k].split("\n")) <= set(alone[k].split("\n")) for k in want)  # the tree cuts no content
+
+
 # --- op7
 
 
