@@ -29,16 +29,24 @@ def modes_of(mode: str) -> tuple[str, ...]:
     return MODES if mode == "both" else (mode,)
 
 
-def transitions_of_tokens(tokens: DataFrame, order: int = 2, mode: str = "word") -> DataFrame:
+def transitions_of_tokens(tokens: DataFrame, order: int = 2, mode: str = "word", asked: DataFrame | None = None) -> DataFrame:
     if order < 1:
         raise ConfigurationError("order must be at least 1")
     made = {"word": word_sequences, "char": char_sequences}
-    return reduce(DataFrame.unionByName, [count_windows(windows(made[m](tokens), order), order, m) for m in modes_of(mode)])
+    seen = {m: windows(made[m](tokens), order) for m in modes_of(mode)}
+    if asked is not None:
+        last = asked.select(F.col("last_token").alias(f"c{order - 1}")).distinct()
+        seen = {m: rows.join(last, f"c{order - 1}", "left_semi") for m, rows in seen.items()}
+    return reduce(DataFrame.unionByName, [count_windows(rows, order, m) for m, rows in seen.items()])
 
 
-def transitions(docs: DataFrame, order: int = 2, mode: str = "word") -> DataFrame:
-    """Frequencies of (state, next token) over all sentences (or words) of ``docs``."""
-    return transitions_of_tokens(token_rows(docs), order, mode)
+def transitions(docs: DataFrame, order: int = 2, mode: str = "word", asked: DataFrame | None = None) -> DataFrame:
+    """Frequencies of (state, next token) over all sentences (or words) of ``docs``.
+
+    ``asked`` (last_token) restricts the model, before anything is counted, to states that
+    end in one of these: all that lookups of such states and their backoff need.
+    """
+    return transitions_of_tokens(token_rows(docs), order, mode, asked)
 
 
 def backoff(model: DataFrame) -> DataFrame:
@@ -47,6 +55,16 @@ def backoff(model: DataFrame) -> DataFrame:
     return model.groupBy("mode", last.alias("last_token"), "next_token").agg(F.sum("frequency").alias("frequency")).where("frequency > 0")
 
 
+def backoff_transitions(docs: DataFrame, order: int = 2, mode: str = "word") -> DataFrame:
+    """``backoff`` of the model of ``docs``, without that model: a state's last token and what
+    follows are the last two columns of a window, so one shuffle counts them."""
+    if order < 1:
+        raise ConfigurationError("order must be at least 1")
+    tokens, made = token_rows(docs), {"word": word_sequences, "char": char_sequences}
+    one = [count_windows(windows(made[m](tokens), order).select(F.col(f"c{order - 1}").alias("c0"), F.col(f"c{order}").alias("c1")), 1, m) for m in modes_of(mode)]
+    return reduce(DataFrame.unionByName, one).withColumnRenamed("state", "last_token")
+
+
 def merge_add(*models: DataFrame) -> DataFrame:
     """One model of several: frequencies of equal keys are added."""
     return reduce(DataFrame.unionByName, models).groupBy(*KEYS).agg(F.sum("frequency").alias("frequency"))

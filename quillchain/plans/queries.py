@@ -82,7 +82,7 @@ def _transitions(order, mode):
 
 def _backoff(mode):
     def run(spark, sf_dir):
-        return model.backoff(model.transitions(_docs(spark, sf_dir), 2, mode))
+        return model.backoff_transitions(_docs(spark, sf_dir), 2, mode)
 
     return run
 
@@ -107,7 +107,7 @@ def exact_lookup(spark, sf_dir):
 
 
 def backoff_lookup(spark, sf_dir):
-    m = model.backoff(model.transitions(_docs(spark, sf_dir), 2, "word"))
+    m = model.backoff_transitions(_docs(spark, sf_dir), 2, "word")
     return query.by_last_token(m, "word", "the")
 
 
@@ -119,8 +119,9 @@ def transition_frequency(spark, sf_dir):
 
 
 def candidates_with_backoff(spark, sf_dir):
-    m = scratch(model.transitions(_docs(spark, sf_dir), 2, "word"), "model")  # probed three times, built once
     wanted = _prompts(spark, sf_dir).select("id", F.lit("word").alias("mode"), F.concat_ws(fx.SEP, F.element_at("tokens", 1), F.element_at("tokens", 3)).alias("state"))
+    asked = wanted.select(F.element_at(fx.decode_state(F.col("state")), -1).alias("last_token"))
+    m = scratch(model.transitions(_docs(spark, sf_dir), 2, "word", asked), "model")  # probed three times, built once
     return query.candidates(m, model.backoff(m), wanted).drop("mode")
 
 
