@@ -333,6 +333,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     linked = linked.join(names, "root").join(ends, "node", "left").select("node", F.lit(True).alias("near"), "class_id", "links")
     known = per_text.join(linked, "node", "left").select("node", F.when(F.col("near"), F.col("class_id")).otherwise(F.col("least")).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    known = written(known, "bag-known")  # plain on both sides, so that a hot text can be split
     out = rows.join(known, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 

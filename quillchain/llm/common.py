@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS_A_TASK = 20_000
 _LOCAL_FALLBACK: dict[str, str] = {}
+_OWN: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quillchain/{spark.sparkContext.applicationId}"
+    """This application's folder; what is left in it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/quillchain/{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        _OWN[folder] = path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+        atexit.register(_remove, folder)
+    return folder
+
+
+def _remove(folder: str) -> None:
+    path, fs = _OWN[folder]
+    try:
+        fs.delete(path, True)
+    except (Py4JError, OSError):
+        pass  # the JVM ended first
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -76,8 +93,7 @@ def slim_batches(spark: SparkSession, size: int = 8 << 20) -> None:
 def clear(spark: SparkSession) -> None:
     """Deletes every table that this application's operators have written, once their
     results have been consumed: results that are still lazy read some of them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(_own_folder(spark))
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
