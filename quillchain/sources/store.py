@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
 import tempfile
@@ -11,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ConfigurationError("spark.checkpoint.dir must name a shared folder")
         folder = "file://" + tempfile.mkdtemp(prefix="quill-")
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_removed, *_path(spark, path))
+    return path
+
+
+def _removed(path, fs) -> None:
+    """Deletes what this application alone can still read, when it ends."""
+    try:
+        fs.delete(path, True)
+    except (Py4JError, OSError):
+        pass  # the JVM ended first
 
 
 def scratch(df: DataFrame, label: str) -> DataFrame:
