@@ -118,6 +118,21 @@ def test_repeated_strings(spark, batches):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("quill_suffixes")]
 
 
+def test_anchors_do_not_depend_on_the_length_of_the_chunk(spark):
+    """Grams whose hashes differ in low bits only rank alike in a short and in a long text."""
+    high, low = b"VaRHVb>^}$%i`X(p", b"yg2M:v6:!(7&YWPT"
+    assert [int(flat.grams(np.frombuffer(g, np.uint8), 16)[0]) for g in (high, low)] == [0x5A5A5, 0x777]
+    body = prose(200, 12)
+    string = body[:50] + high.decode() + body[50:150] + low.decode() + body[150:368]
+    longer = string + "Q" + prose(70_000, 13)[: (1 << 18) + 1000]  # more than a chunk: its own
+    assert len(string) == 400
+    texts = [string, longer]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(brute_repeats(texts)))
+    assert got[0][1] == got[1][1] == 400
+    assert [suffix_dedup.anchors(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[3][0] for t in texts] == [50, 50]
+
+
 def test_levels_are_scanned_and_merged_as_stored(spark):
     """Two levels meet without a shuffle or a sort, and merge in order."""
     family = suffix_dedup.SuffixFamily(spark)
