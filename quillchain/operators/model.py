@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
 from ..functions.text import EOS, SEP, decode_state, is_lexical
-from .sequences import char_sequences, token_rows, windows, word_sequences
+from .counting import counted
+from .sequences import char_sequences, spread, token_rows, windows, word_sequences
 
 KEYS = ("mode", "state", "next_token")
 MODES = ("word", "char")
@@ -46,7 +47,11 @@ def transitions(docs: DataFrame, order: int = 2, mode: str = "word", asked: Data
     ``asked`` (last_token) restricts the model, before anything is counted, to states that
     end in one of these: all that lookups of such states and their backoff need.
     """
-    return transitions_of_tokens(token_rows(docs), order, mode, asked)
+    if asked is not None:
+        return transitions_of_tokens(token_rows(docs), order, mode, asked)
+    if order < 1:
+        raise ConfigurationError("order must be at least 1")
+    return counted(spread(docs.select("doc_id", "text")), order, modes_of(mode))
 
 
 def backoff(model: DataFrame) -> DataFrame:
@@ -60,9 +65,7 @@ def backoff_transitions(docs: DataFrame, order: int = 2, mode: str = "word") ->
     follows are the last two columns of a window, so one shuffle counts them."""
     if order < 1:
         raise ConfigurationError("order must be at least 1")
-    tokens, made = token_rows(docs), {"word": word_sequences, "char": char_sequences}
-    one = [count_windows(windows(made[m](tokens), order).select(F.col(f"c{order - 1}").alias("c0"), F.col(f"c{order}").alias("c1")), 1, m) for m in modes_of(mode)]
-    return reduce(DataFrame.unionByName, one).withColumnRenamed("state", "last_token")
+    return counted(spread(docs.select("doc_id", "text")), order, modes_of(mode), 2).withColumnRenamed("state", "last_token")
 
 
 def merge_add(*models: DataFrame) -> DataFrame:
