@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from hashlib import md5
 from itertools import chain
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from . import query
 
 FLUSH = 1 << 22  # tokens that a task counts at once
 MERGED = 1 << 20  # counted windows that are added up at once, unless one bucket holds more
@@ -31,6 +34,7 @@ MOST_BUCKETS = 8192
 BYTES_A_PARTITION, BYTES_A_BUCKET = 1 << 20, 8 << 20  # of input, as Spark estimates it
 FIRST = (fx.BOS, fx.EOS)  # tokens 0 and 1 of every numbering
 CODES = {"word": 0, "char": 1}
+BACKOFF, START = 2, 4  # added to the code of a mode: for its first-order table, for the state of BOS alone
 PACKED = "bucket int, packed binary"
 MODEL = pa.schema([("mode", pa.string()), ("state", pa.string()), ("next_token", pa.string()), ("frequency", pa.int64())])
 MODEL_DDL = "mode string, state string, next_token string, frequency long"
@@ -171,6 +175,10 @@ def pack(columns: np.ndarray, counts: np.ndarray, tokens: pa.Array, code: int) -
     return len(head).to_bytes(1, "little") + head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
+def _code(packed: bytes) -> int:
+    return int.from_bytes(packed[1:9], "little")
+
+
 def unpack(packed: bytes) -> tuple[int, np.ndarray, np.ndarray, pa.Array]:
     """(code, columns, counts, tokens)"""
     size = packed[0]
@@ -195,9 +203,11 @@ def _mixed(columns: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def packed_buckets(columns: np.ndarray, counts: np.ndarray, tokens: pa.Array, hashes: np.ndarray, code: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    of = _mixed(columns[:-1], hashes)
     start = ~columns[:-1].any(axis=0)
-    of[start] = _mixed(columns[-1:, start], hashes)
+    if start.any() and not code & START:
+        yield from packed_buckets(columns[:, start], counts[start], tokens, hashes, code | START, buckets)
+        columns, counts = columns[:, ~start], counts[~start]
+    of = _mixed(columns[-1:] if code & START else columns[:-1], hashes)
     of = ((of >> np.uint64(11)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
     order = np.argsort(of, kind="stable")
     of, columns, counts = of[order], columns[:, order], counts[order]
@@ -214,8 +224,8 @@ def _hash(token: str) -> int:
 class Counting:
     """What one task has read since it last packed."""
 
-    def __init__(self, order: int, modes: tuple[str, ...], buckets: int, last: int | None):
-        self.order, self.modes, self.buckets, self.last = order, modes, buckets, last
+    def __init__(self, order: int, modes: tuple[str, ...], buckets: int, last: int | None, backoff: bool = False):
+        self.order, self.modes, self.buckets, self.last, self.backoff = order, modes, buckets, last, backoff
         self.clear()
 
     def clear(self) -> None:
@@ -252,7 +262,10 @@ class Counting:
         for mode in self.modes:
             columns, counts, used = self._counted(mode, ids, tokens)
             hashes = np.fromiter(map(_hash, used), np.uint64, len(used))
-            yield from packed_buckets(columns, counts, pa.array(used, pa.large_string()), hashes, CODES[mode], self.buckets)
+            words = pa.array(used, pa.large_string())
+            yield from packed_buckets(columns, counts, words, hashes, CODES[mode], self.buckets)
+            if self.backoff:
+                yield from packed_buckets(*added(columns[-2:], counts), words, hashes, CODES[mode] + BACKOFF, self.buckets)
         self.clear()
 
 
@@ -267,9 +280,9 @@ def _batches(rows: Iterator[tuple[int, bytes]], most: int = 16 << 20) -> Iterato
             held, size = [], 0
 
 
-def _packer(order: int, modes: tuple[str, ...], buckets: int, last: int | None):
+def _packer(order: int, modes: tuple[str, ...], buckets: int, last: int | None, backoff: bool = False):
     def rows(batches):
-        counting = Counting(order, modes, buckets, last)
+        counting = Counting(order, modes, buckets, last, backoff)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -308,20 +321,20 @@ class Merged:
 
 
 def model_rows(m: Merged, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    mode = next(k for k, v in CODES.items() if v == m.code)
+    mode = _mode(m)
     for at in range(0, len(m.counts), rows):
         which = slice(at, at + rows)
         n = len(m.counts[which])
         yield pa.RecordBatch.from_arrays([pa.array([mode] * n, pa.string()), m.states(which), m.text(m.columns[-1][which]).cast(pa.string()), pa.array(m.counts[which])], schema=MODEL)
 
 
-def _merger(made: Callable[[Merged], Iterator[pa.RecordBatch]]):
-    """Buckets arrive one after the other; neighbours are added up together while they are small."""
+def _merger(made: Callable[[Merged], Iterator[pa.RecordBatch]], start: bool | None = None):
+    """Buckets arrive one after the other; neighbours are added up together while they are small.
+    ``start`` keeps only the state of BOS alone, or all others."""
 
     def merged(held: list) -> Iterator[pa.RecordBatch]:
-        for code in CODES.values():
-            if packs := [p for p in held if p[0] == code]:
-                yield from made(Merged(code, packs))
+        for code in sorted({p[0] & ~START for p in held}):
+            yield from made(Merged(code, [p for p in held if p[0] & ~START == code]))
 
     def rows(batches):
         held, size, now = [], 0, None
@@ -331,28 +344,244 @@ def _merger(made: Callable[[Merged], Iterator[pa.RecordBatch]]):
                     yield from merged(held)
                     held, size = [], 0
                 now = bucket
-                held.append(unpack(packed.as_buffer().to_pybytes()))
-                size += len(held[-1][2])
+                raw = packed.as_buffer().to_pybytes()
+                if start is None or bool(_code(raw) & START) == start:
+                    held.append(unpack(raw))
+                    size += len(held[-1][2])
         yield from merged(held)
 
     return rows
 
 
-def packed(docs: DataFrame, order: int, modes: tuple[str, ...], last: int | None = None) -> DataFrame:
-    """(bucket, packed) of (doc_id, text), a bucket's rows together in one partition and in order."""
-    spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def packed(docs: DataFrame | list[DataFrame], order: int, modes: tuple[str, ...], last: int | None = None, backoff: bool = False) -> DataFrame:
+    """(bucket, packed) of (doc_id, text), a bucket's rows together in one partition and in order;
+    with ``backoff``, first-order tables of the same windows, too.  Each table of several is
+    counted on its own."""
+    tables = docs if isinstance(docs, list) else [docs]
+    spark = tables[0].sparkSession
+    size = sum(int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for d in tables)
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // BYTES_A_PARTITION))
     buckets = parts * max(1, min(MOST_BUCKETS // parts, -(-size // (BYTES_A_BUCKET * parts))))
-    rows = docs.select("text", F.when(fx.needs_nfkc(F.col("text")), tokens_by_paragraph(F.col("text"))).alias("made"))
-    counted = rows.mapInArrow(_packer(order, modes, buckets, last), PACKED)
+    counted = reduce(DataFrame.unionByName, [_with_tokens(d).mapInArrow(_packer(order, modes, buckets, last, backoff), PACKED) for d in tables])
     return counted.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
 
 
 def tokens_by_paragraph(text: Column) -> Column:
-    return F.transform(fx.paragraphs_of(text), lambda p: fx.tokens_of(fx.clean(p)))
+    """Of the paragraphs that are not empty when they are clean."""
+    return F.transform(F.filter(F.transform(fx.paragraphs_of(text), lambda p: fx.clean(p)), lambda c: c != ""), lambda c: fx.tokens_of(c))
+
+
+def _with_tokens(docs: DataFrame) -> DataFrame:
+    """(text, made): the tokens of texts that the JVM has to clean."""
+    return docs.select("text", F.when(fx.needs_nfkc(F.col("text")), tokens_by_paragraph(F.col("text"))).alias("made"))
 
 
-def counted(docs: DataFrame, order: int, modes: tuple[str, ...], last: int | None = None) -> DataFrame:
+def counted(docs: DataFrame | list[DataFrame], order: int, modes: tuple[str, ...], last: int | None = None) -> DataFrame:
     """(mode, state, next_token, frequency) of (doc_id, text); ``last`` keeps so many columns of a window."""
     return packed(docs, order, modes, last).mapInArrow(_merger(model_rows), MODEL_DDL)
+
+
+# Stored models: the same buckets again, dealt out by ranges of (state, next token) in packed form
+
+SAMPLED = 1 << 12  # of so many rows of a bucket, one may become a border
+ROWS_A_RANGE = 1 << 21
+MERGED_DDL = "code int, n long, packed binary, keys array<string>"
+
+
+class Windows:
+    """What is to be counted: order-N windows of (doc_id, text) and their first-order tables."""
+
+    def __init__(self, docs: DataFrame, order: int, modes: tuple[str, ...]):
+        self.docs, self.order, self.modes, self.sparkSession = docs, order, modes, docs.sparkSession
+
+    def merged(self) -> DataFrame:
+        """(code, n, packed, keys): every bucket added up, and rows of it as possible borders."""
+        return packed(self.docs, self.order, self.modes, backoff=True).mapInArrow(_merger(_merged_rows), MERGED_DDL)
+
+
+def _key(m: Merged, row: int) -> str:
+    return fx.SEP.join(m.tokens[int(c[row])].as_py() for c in m.columns)
+
+
+def _merged_rows(m: Merged) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(m.counts), MERGED):
+        n = len(m.counts[at : at + MERGED])
+        keys = [_key(m, k) for k in range(at, at + n, SAMPLED)]
+        raw = pack(m.columns[:, at : at + n], m.counts[at : at + n], m.tokens, m.code)
+        yield pa.RecordBatch.from_arrays([pa.array([m.code], pa.int32()), pa.array([n], pa.int64()), pa.array([raw], pa.binary()), pa.array([keys], pa.list_(pa.string()))], ["code", "n", "packed", "keys"])
+
+
+def borders(keys: list[str], ranges: int) -> list[str]:
+    """Where all but the first of so many ranges of about equal size begin."""
+    keys = sorted(keys, key=_in_order)
+    return sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}, key=_in_order) if keys else []
+
+
+def _in_order(key: str) -> list[bytes]:
+    return [t.encode() for t in key.split(fx.SEP)]
+
+
+def _dealt(found: list[str]):
+    """Packed tables, whose rows are in order, cut at the borders."""
+    asked = [_in_order(b) for b in found]
+
+    def rows(batches):
+        for batch in batches:
+            for packed in batch.column(0):
+                code, columns, counts, tokens = unpack(packed.as_buffer().to_pybytes())
+                at = [0]
+                for border in asked:
+                    low, high = at[-1], len(counts)
+                    while low < high:
+                        mid = (low + high) // 2
+                        if [tokens[int(c[mid])].as_py().encode() for c in columns] < border:
+                            low = mid + 1
+                        else:
+                            high = mid
+                    at.append(low)
+                for k, (i, j) in enumerate(zip(at, [*at[1:], len(counts)])):
+                    if i < j:
+                        yield k, pack(columns[:, i:j], counts[i:j], tokens, code)
+
+    return lambda batches: _batches(rows(batches))
+
+
+def in_order(merged: DataFrame, code: int) -> DataFrame:
+    """(state, next_token, frequency) of one table of ``Windows.merged``: ranges of states, each in order."""
+    table = merged.where(F.col("code") == code)  # the starts were added to the others
+    n = table.agg(F.sum("n")).first()[0] or 0
+    keys = [r[0] for r in table.select(F.explode("keys")).collect()]
+    slots = merged.sparkSession.sparkContext.defaultParallelism
+    found = borders(keys, max(1, min(slots, n >> 16), -(-n // ROWS_A_RANGE)))
+    dealt = table.select("packed").mapInArrow(_dealt(found), PACKED).repartitionById(len(found) + 1, F.col("bucket")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_merger(_plain_rows), "state string, next_token string, frequency long")
+
+
+def _plain_rows(m: Merged) -> Iterator[pa.RecordBatch]:
+    for batch in model_rows(m):
+        yield batch.select(["state", "next_token", "frequency"])
+
+
+# What is asked of each state, while its successors are together
+
+def row_counts(docs: DataFrame, order: int, modes: tuple[str, ...]) -> DataFrame:
+    """(mode, transition_rows) of modes with rows."""
+
+    def size(m: Merged) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([_mode(m)]), pa.array([len(m.counts)], pa.int64())], ["mode", "n"])
+
+    return packed(docs, order, modes).mapInArrow(_merger(size), "mode string, n long").groupBy("mode").agg(F.sum("n").alias("transition_rows"))
+
+
+def _mode(m: Merged) -> str:
+    return next(k for k, v in CODES.items() if v == m.code % BACKOFF)
+
+
+class States:
+    """Where each state's successors begin, and of what length they are."""
+
+    def __init__(self, m: Merged):
+        changed = (m.columns[:-1, 1:] != m.columns[:-1, :-1]).any(axis=0)
+        self.first = np.flatnonzero(np.concatenate([[True], changed])) if len(m.counts) else np.zeros(0, int)
+        self.size = np.diff(np.concatenate([self.first, [len(m.counts)]]))
+        self.m = m
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        return np.repeat(values, self.size)
+
+    def best(self) -> np.ndarray:
+        """The row of the most frequent successor; ties go to the greatest token, which is the last."""
+        counts = self.m.counts
+        top = self.spread(np.maximum.reduceat(counts, self.first))
+        return np.maximum.reduceat(np.where(counts == top, np.arange(len(counts)), -1), self.first)
+
+    def weights(self, temperature: float) -> np.ndarray:
+        """Counts to the power of 1 / temperature, a state's largest as 1."""
+        if temperature == 0:
+            out = np.zeros(len(self.m.counts))
+            out[self.best()] = 1.0
+            return out
+        logs = np.log(self.m.counts)
+        return np.exp((logs - self.spread(np.maximum.reduceat(logs, self.first))) / temperature)
+
+    def running(self, weights: np.ndarray) -> np.ndarray:
+        """Sums from a state's first successor on, added one by one."""
+        out = weights.copy()
+        short = self.size <= 64
+        for k in range(1, 64):
+            at = self.first[short & (self.size > k)] + k
+            if not len(at):
+                break
+            out[at] += out[at - 1]
+        for i, n in zip(self.first[~short].tolist(), self.size[~short].tolist()):
+            out[i : i + n] = np.cumsum(weights[i : i + n])
+        return out
+
+    def draws(self, states: pa.Array) -> np.ndarray:
+        """``query.uniform_of`` of each state."""
+        return np.array([int(md5(s.encode()).hexdigest()[:12], 16) for s in states.to_pylist()], np.float64) / float(1 << 48)
+
+
+def _in_pieces(n: int, rows: int = 1 << 16) -> Iterator[slice]:
+    for at in range(0, n, rows):
+        yield slice(at, min(n, at + rows))
+
+
+def _greedy_rows(m: Merged) -> Iterator[pa.RecordBatch]:
+    best = States(m).best()
+    for piece in _in_pieces(len(best)):
+        rows = best[piece]
+        yield pa.RecordBatch.from_arrays([m.states(rows), m.text(m.columns[-1][rows]).cast(pa.string()), pa.array(m.counts[rows])], ["state", "next_token", "frequency"])
+
+
+def _sampled_rows(temperature: float):
+    def made(m: Merged) -> Iterator[pa.RecordBatch]:
+        s = States(m)
+        running = s.running(s.weights(temperature))
+        last = s.first + s.size - 1
+        for piece in _in_pieces(len(last)):
+            first, end = s.first[piece], last[piece]
+            states = m.states(first)
+            low, high = int(first[0]), int(end[-1]) + 1
+            hit = running[low:high] > np.repeat(s.draws(states) * running[end], s.size[piece])
+            found = np.minimum(np.minimum.reduceat(np.where(hit, np.arange(low, high), high), first - low), end)
+            yield pa.RecordBatch.from_arrays([states, m.text(m.columns[-1][found]).cast(pa.string())], ["state", "next_token"])
+
+    return made
+
+
+def _shared_rows(temperature: float):
+    def made(m: Merged) -> Iterator[pa.RecordBatch]:
+        s = States(m)
+        weights = s.weights(temperature)
+        shares = weights / s.spread(np.add.reduceat(weights, s.first))
+        for rows in _in_pieces(len(weights)):
+            yield pa.RecordBatch.from_arrays([m.states(rows), m.text(m.columns[-1][rows]).cast(pa.string()), pa.array(m.counts[rows]), pa.array(shares[rows])], ["state", "next_token", "frequency", "probability"])
+
+    return made
+
+
+def _asked(docs: DataFrame, order: int, mode: str, made, ddl: str, starts: Callable[[DataFrame], DataFrame], last: int | None = None) -> DataFrame:
+    """``made`` of all states but that of BOS alone, whose rows are in all buckets: ``starts`` of those."""
+    table = packed(docs, order, (mode,), last)
+    alone = table.mapInArrow(_merger(_plain_rows, True), "state string, next_token string, frequency long")
+    return table.mapInArrow(_merger(made, False), ddl).unionByName(starts(alone))
+
+
+def greedy(docs: DataFrame, order: int, mode: str, last: int | None = None) -> DataFrame:
+    """``query.greedy`` of the model of ``docs`` by state; ``last=2`` asks its first-order table."""
+    return _asked(docs, order, mode, _greedy_rows, "state string, next_token string, frequency long", lambda rows: query.greedy(rows, "state"), last)
+
+
+def distribution(docs: DataFrame, order: int, mode: str, temperature: float) -> DataFrame:
+    """``query.distribution`` of the model of ``docs`` by state."""
+    query.check_temperature(temperature)
+    return _asked(docs, order, mode, _shared_rows(temperature), "state string, next_token string, frequency long, probability double", lambda rows: query.distribution(rows, ["state"], temperature))
+
+
+def sample(docs: DataFrame, order: int, mode: str, temperature: float = 1.0) -> DataFrame:
+    """``query.sample`` of the model of ``docs`` by state."""
+    query.check_temperature(temperature)
+    if temperature == 0:
+        return greedy(docs, order, mode).select("state", "next_token")
+    return _asked(docs, order, mode, _sampled_rows(temperature), "state string, next_token string", lambda rows: query.sample(rows, ["state"], temperature))

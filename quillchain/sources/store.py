@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, CorpusError, ModelError
 from ..functions.text import CLEANER_VERSION, SEP, human_bytes
-from ..operators.model import backoff, build_stats, modes_of, row_counts, transitions_of_tokens
-from ..operators.sequences import token_rows
+from ..operators.counting import BACKOFF, CODES, Windows, in_order
+from ..operators.model import backoff, build_stats, modes_of, row_counts
+from ..operators.sequences import spread, token_rows
 from .corpus import MOST_BYTES, POLICIES, fingerprints, malformed_at, read_corpus
 
 SCHEMA_VERSION = "1"
+TRANSITIONS = "state string, next_token string, frequency long, mode string"
 
 
 @dataclass(frozen=True)
@@ -101,14 +103,36 @@ def space_warning(spark: SparkSession, config: BuildConfig, source_bytes: int) -
     return f"{human_bytes(free)} free, {human_bytes(need)} recommended" if free < need else None
 
 
-def write_model(model: DataFrame, path: str, order: int, mode: str, sources: DataFrame | None = None, extra: dict | None = None, overwrite: bool = False, last_check: Callable[[], None] = lambda: None, tell: Callable[..., None] = lambda *_: None) -> dict[str, int]:
+def _write_tables(model: DataFrame | Windows, stage: str, tell: Callable[..., None]) -> DataFrame:
+    """Both tables of a model below ``stage``; the first as it is read back."""
+    spark = model.sparkSession
+    if isinstance(model, Windows):
+        merged = scratch(model.merged(), "merged")
+        held = {r["code"] for r in merged.select("code").distinct().collect()}
+        for name, state, more in (("transitions", "state", 0), ("backoff", "last_token", BACKOFF)):
+            for mode in model.modes:
+                if CODES[mode] + more in held:
+                    in_order(merged, CODES[mode] + more).withColumnRenamed("state", state).write.parquet(f"{stage}/{name}/mode={mode}")
+            if more == 0:
+                tell("merge", 0, 1, "first-order table")
+        dropped(merged)
+        return spark.read.schema(TRANSITIONS).parquet(f"{stage}/transitions") if held else spark.createDataFrame([], TRANSITIONS)
+    model.repartitionByRange("mode", "state").sortWithinPartitions("mode", "state", "next_token").write.partitionBy("mode").parquet(f"{stage}/transitions")
+    stored = spark.read.parquet(f"{stage}/transitions")
+    tell("merge", 0, 1, "first-order table")
+    backoff(stored).repartitionByRange("mode", "last_token").sortWithinPartitions("mode", "last_token", "next_token").write.partitionBy("mode").parquet(f"{stage}/backoff")
+    return stored
+
+
+def write_model(model: DataFrame | Windows, path: str, order: int, mode: str, sources: DataFrame | None = None, extra: dict | None = None, overwrite: bool = False, last_check: Callable[[], None] = lambda: None, tell: Callable[..., None] = lambda *_: None) -> dict[str, int]:
     """Writes all tables to a staging folder and renames it to ``path``; any failure
     removes the staging folder and leaves what was there: a model that is replaced is
     renamed aside first and deleted last.  ``last_check`` runs right before that.  Returns
     rows by mode.
 
     Files are sorted by state (backoff: by last token), so that min/max statistics let
-    a point lookup skip nearly all row groups.
+    a point lookup skip nearly all row groups.  ``Windows`` are counted, dealt out and
+    sorted in packed form; any other table is shuffled and sorted as rows.
     """
     spark = model.sparkSession
     final, fs = _path(spark, path)
@@ -118,10 +142,7 @@ def write_model(model: DataFrame, path: str, order: int, mode: str, sources: Dat
     staged, _ = _path(spark, stage)
     aside, _ = _path(spark, stage.replace(".staging-", ".replaced-"))
     try:
-        model.repartitionByRange("mode", "state").sortWithinPartitions("mode", "state", "next_token").write.partitionBy("mode").parquet(f"{stage}/transitions")
-        stored = spark.read.parquet(f"{stage}/transitions")
-        tell("merge", 0, 1, "first-order table")
-        backoff(stored).repartitionByRange("mode", "last_token").sortWithinPartitions("mode", "last_token", "next_token").write.partitionBy("mode").parquet(f"{stage}/backoff")
+        stored = _write_tables(model, stage, tell)
         rows = {r["mode"]: r["transition_rows"] for r in row_counts(stored).collect()}
         for m in modes_of(mode):
             if not rows.get(m):
@@ -199,7 +220,7 @@ def build_model(spark: SparkSession, config: BuildConfig, progress: Callable[[st
         sources = spark.createDataFrame(before, "path string, size_bytes long, modified_ns long")
         extra = {"encoding_errors": config.errors, "source_files": len(before), "source_bytes": size}
         with Ticker(spark, progress, "index", "transitions"):
-            rows = write_model(transitions_of_tokens(tokens, config.order, config.mode), config.model_path, config.order, config.mode, sources, extra, config.overwrite, same, progress)
+            rows = write_model(Windows(spread(docs), config.order, modes_of(config.mode)), config.model_path, config.order, config.mode, sources, extra, config.overwrite, same, progress)
     except Exception as bad:
         if found := re.search(r"malformed UTF-8 in (\S+)", str(bad)):
             raise CorpusError(f"invalid UTF-8 in {found[1]} at byte {malformed_at(found[1])}; --encoding-errors replace goes on without it") from bad

@@ -73,3 +73,44 @@ def test_little_is_shuffled(spark):
         assert sum(r.n for r in packs) < 16 * rows and max(r.n for r in packs) < 2 * sum(r.n for r in packs) / len(packs)
     plan = model.transitions(docs, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2 and "HashAggregate" not in plan
+
+
+def test_models_are_stored_in_order(spark, tmp_path, monkeypatch):
+    """Counted, dealt out and sorted without rows of strings: equal to the table written as rows, files in ranges of states."""
+    from quillchain.sources import store
+
+    monkeypatch.setattr(counting, "SAMPLED", 8)
+    monkeypatch.setattr(counting, "ROWS_A_RANGE", 5000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    store.write_model(model.transitions(docs, 2, "both"), str(tmp_path / "rows"), 2, "both")
+    store.write_model(counting.Windows(docs, 2, ("word", "char")), str(tmp_path / "packed"), 2, "both")
+    one, two = store.Model(spark, str(tmp_path / "rows")), store.Model(spark, str(tmp_path / "packed"))
+    for name, key in (("transitions", "state"), ("backoff", "last_token"), ("models", "mode")):
+        a, b = getattr(one, name), getattr(two, name)
+        assert a.exceptAll(b.select(a.columns)).isEmpty() and b.select(a.columns).exceptAll(a).isEmpty()
+        if key != "mode":
+            spans = b.groupBy("mode", F.input_file_name().alias("f")).agg(F.min(F.struct(key, "next_token")).alias("low"), F.max(F.struct(key, "next_token")).alias("high")).orderBy("mode", "low").collect()
+            assert len(spans) > 3 and all(p.high < n.low for p, n in zip(spans, spans[1:]) if p.mode == n.mode)
+
+
+@pytest.mark.parametrize("order,mode", [(1, "word"), (2, "word"), (2, "char")])
+def test_what_is_asked_of_states(spark, order, mode):
+    """In buckets as over the table of rows; the state of BOS alone is in all buckets."""
+    from quillchain.operators import query
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = counted_by_jvm(docs, order, mode).select("state", "next_token", "frequency").persist()
+    near = lambda df: df.withColumn("probability", F.round("probability", 9)) if "probability" in df.columns else df
+    for got, want in [
+        (counting.greedy(docs, order, mode), query.greedy(rows, "state")),
+        (counting.sample(docs, order, mode), query.sample(rows, ["state"])),
+        (counting.sample(docs, order, mode, 0), query.sample(rows, ["state"], 0)),
+        *((counting.distribution(docs, order, mode, t), query.distribution(rows, ["state"], t)) for t in (0, 0.02, 1.5)),
+    ]:
+        got, want = near(got), near(want.select(got.columns))
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    halves = [docs.where(F.col("doc_id") % 2 == k) for k in (0, 1)]
+    both = counting.counted(halves, order, (mode,)).select(rows.columns)
+    assert both.exceptAll(rows).isEmpty() and rows.exceptAll(both).isEmpty()
+    assert counting.row_counts(docs, order, (mode,)).collect() == [(mode, rows.count())]
+    rows.unpersist()
