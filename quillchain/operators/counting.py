@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from . import query
+from .sequences import spread
 
 FLUSH = 1 << 22  # tokens that a task counts at once
 MERGED = 1 << 20  # counted windows that are added up at once, unless one bucket holds more
@@ -585,3 +586,61 @@ def sample(docs: DataFrame, order: int, mode: str, temperature: float = 1.0) ->
     if temperature == 0:
         return greedy(docs, order, mode).select("state", "next_token")
     return _asked(docs, order, mode, _sampled_rows(temperature), "state string, next_token string", lambda rows: query.sample(rows, ["state"], temperature))
+
+
+# Counters of a corpus
+
+STATS = ("paragraphs", "word_tokens", "character_words", "observations")
+_SHOWN = re.compile(r"[^\x00-\x20\x7f\xad]")  # a character that cleaning of plain text leaves
+
+
+class Stats(Counting):
+    """Additive counters instead of windows."""
+
+    def __init__(self):
+        super().__init__(1, (), 1, None)
+
+    def flush(self) -> Iterator[tuple[int, ...]]:
+        if not self.ids:
+            return
+        ids, tokens = np.array(self.ids, np.int32), self.known.tokens()
+        times = np.bincount(ids, minlength=len(tokens)).tolist()
+        sentences = len(sentence_starts(ids, np.array(self.paragraphs), tokens))
+        words, letters = 0, 0
+        for token, n in zip(tokens[len(FIRST) :], times[len(FIRST) :]):
+            if n:
+                found = char_words(token)
+                words += n * len(found)
+                letters += n * sum(len(w) + 1 for w in found)
+        lexical = sum(n for token, n in zip(tokens, times) if token not in fx.PUNCTUATION)
+        yield 0, lexical, words, len(ids) + sentences + letters
+        self.clear()
+
+
+def _stats(batches):
+    stats, sums = Stats(), np.zeros(len(STATS), np.int64)
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            for text, made in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if made is not None:
+                    sums[0] += len(made)
+                    stats.add(made)
+                elif text is not None:
+                    shown = [p for p in plain_paragraphs(text) if _SHOWN.search(p)]
+                    sums[0] += len(shown)
+                    stats.add(map(plain_tokens, shown))
+                if len(stats.ids) >= FLUSH:
+                    sums += sum(map(np.array, stats.flush()))
+    for row in stats.flush():
+        sums += row
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in sums.tolist()], STATS)
+
+
+def build_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of additive counters over a corpus; sums, so retried tasks don't count twice."""
+    rows = _with_tokens(spread(docs.select(F.col(text).alias("text"))))
+    per = rows.mapInArrow(_stats, ", ".join(f"{c} long" for c in STATS))
+    one = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS])
+    size = docs.agg(F.count("*").alias("source_files"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("source_bytes"))
+    return one.crossJoin(size)  # one row by one row

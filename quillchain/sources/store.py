@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, CorpusError, ModelError
 from ..functions.text import CLEANER_VERSION, SEP, human_bytes
-from ..operators.counting import BACKOFF, CODES, Windows, in_order
-from ..operators.model import backoff, build_stats, modes_of, row_counts
-from ..operators.sequences import spread, token_rows
+from ..operators.counting import BACKOFF, CODES, Windows, build_stats, in_order
+from ..operators.model import backoff, modes_of, row_counts
+from ..operators.sequences import spread
 from .corpus import MOST_BYTES, POLICIES, fingerprints, malformed_at, read_corpus
 
 SCHEMA_VERSION = "1"
@@ -212,10 +212,9 @@ def build_model(spark: SparkSession, config: BuildConfig, progress: Callable[[st
         if fingerprints(spark, config.input_path, config.model_path).collect() != before:
             raise CorpusError("the corpus changed during the build")
 
-    tokens = token_rows(docs)
     try:
         with Ticker(spark, progress, "index", "paragraphs and observations"):
-            stats = build_stats(tokens, docs).first().asDict() | {"source_files": len(before), "source_bytes": size, "replacements": docs.agg(F.sum("replacements")).first()[0] or 0}
+            stats = build_stats(docs).first().asDict() | {"source_files": len(before), "source_bytes": size, "replacements": docs.agg(F.sum("replacements")).first()[0] or 0}
         same()
         sources = spark.createDataFrame(before, "path string, size_bytes long, modified_ns long")
         extra = {"encoding_errors": config.errors, "source_files": len(before), "source_bytes": size}

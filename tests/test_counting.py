@@ -114,3 +114,26 @@ def test_what_is_asked_of_states(spark, order, mode):
     assert both.exceptAll(rows).isEmpty() and rows.exceptAll(both).isEmpty()
     assert counting.row_counts(docs, order, (mode,)).collect() == [(mode, rows.count())]
     rows.unpersist()
+
+
+def test_stats_equal_those_of_the_jvm(spark):
+    """Paragraphs without a token, blank ones, texts that the JVM cleans, nulls."""
+    texts = ["~~~\n\n* a-b'c\n \n" + chr(0xAD), "ﬁn. ½\n\n…\n\n" + chr(0x2028), "Dr. Ali geldi. Sonra!\n\n\x1c\x07", None, "", "x" * 70 + " İZ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = counting.build_stats(docs), model.build_stats(sequences.token_rows(docs), docs)
+    assert got.select(want.columns).collect() == want.collect()
+
+
+def test_walks_ask_a_stored_model_for_few_states(spark, tmp_path):
+    """The scan of a model is told what is wanted; states without rows are found without shuffling the model."""
+    from quillchain.operators import generate, query
+    from quillchain.sources import store
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    store.write_model(counting.Windows(docs, 2, ("word",)), str(tmp_path / "m"), 2, "word")
+    m = store.Model(spark, str(tmp_path / "m"))
+    wanted = spark.createDataFrame([("word", fx.SEP.join(s)) for s in (("of", "the"), ("no such", "the"), (fx.BOS, "no such"))], "mode string, state string")
+    tables = generate._restricted(m, wanted)
+    assert all("In(" in t._jdf.queryExecution().executedPlan().toString() for t in tables)
+    got, want = query.candidates(*tables, wanted), query.candidates(m.transitions, m.backoff, wanted)
+    assert got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
